@@ -2,11 +2,12 @@
 
 from __future__ import annotations
 
-from helixloom.llm import chat_format, quality
+from helixloom.llm import chat_format, pii, quality
 
 
 def registered() -> dict:
     return {
         "op2_chat_format": (chat_format.op2_chat_format, chat_format.OP2_SQL),
         "op3_quality": (quality.op3_quality, None),
+        "op8_pii": (pii.op8_pii, None),
     }
