@@ -2,12 +2,13 @@
 
 from __future__ import annotations
 
-from helixloom.llm import chat_format, pii, quality
+from helixloom.llm import chat_format, pii, quality, simhash
 
 
 def registered() -> dict:
     return {
         "op2_chat_format": (chat_format.op2_chat_format, chat_format.OP2_SQL),
         "op3_quality": (quality.op3_quality, None),
+        "op4_simhash": (simhash.op4_simhash, None),
         "op8_pii": (pii.op8_pii, None),
     }
