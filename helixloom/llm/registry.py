@@ -2,13 +2,15 @@
 
 from __future__ import annotations
 
-from helixloom.llm import chat_format, pii, quality, simhash
+from helixloom.llm import chat_format, mixing, packing, pii, quality, simhash
 
 
 def registered() -> dict:
     return {
+        "op1_mix": (mixing.op1_mix, None),
         "op2_chat_format": (chat_format.op2_chat_format, chat_format.OP2_SQL),
         "op3_quality": (quality.op3_quality, None),
         "op4_simhash": (simhash.op4_simhash, None),
+        "op6_pack": (packing.op6_pack, None),
         "op8_pii": (pii.op8_pii, None),
     }
