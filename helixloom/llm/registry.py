@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from helixloom.llm import chat_format, mixing, packing, pii, quality, simhash
+from helixloom.llm import chat_format, html_text, mixing, packing, pii, quality, simhash
 
 
 def registered() -> dict:
@@ -11,6 +11,7 @@ def registered() -> dict:
         "op2_chat_format": (chat_format.op2_chat_format, chat_format.OP2_SQL),
         "op3_quality": (quality.op3_quality, None),
         "op4_simhash": (simhash.op4_simhash, None),
+        "op5_html_text": (html_text.op5_html_text, None),
         "op6_pack": (packing.op6_pack, None),
         "op8_pii": (pii.op8_pii, None),
     }
