@@ -24,7 +24,7 @@ from pyspark.sql import functions as F
 from helixloom.llm.common import discard, materialize, table, word_count
 
 WEIGHTS = (3.0, 1.0, 2.0)
-SHARE, MOST, SEED, BLOCK = 1.5, 2.0, 7, 20_000
+SHARE, MOST, SEED, BLOCK = 1.5, 2.0, 7, 2000
 EDGE = 1e-9
 
 
