@@ -30,6 +30,14 @@ def word_count(text: Column) -> Column:
     return F.size(words(text)).cast("long")
 
 
+def where_once(df: DataFrame, condition: Column) -> DataFrame:
+    """Rows that meet a condition on computed columns.
+
+    A plain filter would take over the columns' expressions and evaluate them again, inside lambdas even for each element; Spark
+    leaves a filter above a projection that is not deterministic."""
+    return df.withColumn("_once", F.monotonically_increasing_id()).where(condition & (F.col("_once") >= 0)).drop("_once")
+
+
 def shared_dir(spark: SparkSession) -> str:
     """The folder named by ``spark.checkpoint.dir``; a temporary one only where none is set, as in local tests."""
     global _local_dir

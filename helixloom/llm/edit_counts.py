@@ -19,7 +19,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from helixloom.llm.common import materialize, table
+from helixloom.llm.common import materialize, table, where_once
 from helixloom.llm.pii import KINDS, base_spans
 from helixloom.llm.token_files import VOCABULARY, Encoder
 
@@ -168,7 +168,7 @@ def redaction_edits(docs: DataFrame) -> DataFrame:
     """(rid, text, edits) of the documents with base spans of personal data: each span becomes its kind in brackets."""
     names = F.array(*[F.lit(f"[{k.upper()}]") for k in KINDS])
     edits = F.transform("base", lambda s: F.struct(s.start.alias("start"), s.stop.alias("stop"), F.get(names, s.kind).alias("text"))).cast(EDITS)
-    return base_spans(docs.select("rid", "text")).where(F.size("base") > 0).select("rid", "text", edits.alias("edits"))
+    return where_once(base_spans(docs.select("rid", "text")), F.size("base") > 0).select("rid", "text", edits.alias("edits"))
 
 
 def op9_edit_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
