@@ -102,7 +102,7 @@ def uniform(seed: int, *keys: Column) -> Column:
 def assign_genotypes(variants: DataFrame, seed: int, default_af: float = 0.1) -> DataFrame:
     """Variants without genotype, each with one drawn by its allele frequency (``af``, the first value); the second at a position has 0|0."""
     open_ = variants.where("gt IS NULL") if "gt" in variants.columns else variants
-    af = F.coalesce("af", F.lit(default_af))
+    af = F.coalesce("af", F.lit(default_af)) if "af" in variants.columns else F.lit(default_af)
     p = va.genotype_shares(af)
     u = uniform(seed, F.col("chrom"), F.col("pos"), F.col("ordinal"))
     c1, c2, c3 = F.get(p, F.lit(0)), F.get(p, F.lit(0)) + F.get(p, F.lit(1)), F.get(p, F.lit(0)) + F.get(p, F.lit(1)) + F.get(p, F.lit(2))
