@@ -144,15 +144,16 @@ def mix(items: DataFrame, *, weights=WEIGHTS, share=SHARE, most=MOST, seed=SEED,
 def mixed(docs: DataFrame, **how) -> DataFrame:
     """The documents of the mix, each as often as it is taken, with the columns of ``docs``.
 
-    Decisions return to the texts by (id, source, size); rows that share all three are taken in turn."""
-    key = [F.coalesce(F.xxhash64("_doc", "_source"), F.lit(0)), F.col("_size")]
+    Decisions return to the texts by (id, source, size), in one shuffle; rows that share all three share out what they got together."""
+    key = F.xxhash64(F.coalesce(F.col("_doc").cast("string"), F.lit("")), F.col("_doc").isNull(), F.coalesce("_source", F.lit("")), F.col("_source").isNull()).alias("_k")
     packed = docs.select(F.struct(*docs.columns).alias("_row"), F.col("doc_id").alias("_doc"), F.col("source").alias("_source"), word_count(F.col("text")).alias("_size"))
-    items = packed.select(F.col("_doc").alias("doc_id"), F.col("_source").alias("source"), F.col("_size").alias("size"))
-    taken = mix(items, **how).select(F.col("doc_id").alias("_doc"), F.col("source").alias("_source"), F.col("size").alias("_size"), "copies")
-    number = F.row_number().over(W.partitionBy("_k", "_size").orderBy(F.col("_order")))
-    wide = packed.withColumns({"_k": key[0], "_order": F.lit(0)}).withColumn("_n", number).drop("_order", "_doc", "_source")
-    plan = taken.withColumns({"_k": key[0], "_order": -F.col("copies")}).withColumn("_n", number).select("_k", "_size", "_n", "copies")
-    return wide.join(plan, ["_k", "_size", "_n"]).where("copies > 0").select(F.explode(F.array_repeat("_row", F.col("copies").cast("int"))).alias("_row")).select("_row.*")
+    taken = mix(packed.select(F.col("_doc").alias("doc_id"), F.col("_source").alias("source"), F.col("_size").alias("size")), **how)
+    plan = taken.select(F.col("doc_id").alias("_doc"), F.col("source").alias("_source"), F.col("size").alias("_size"), "copies").select(key, "_size", "copies")
+    plan = plan.groupBy("_k", "_size").agg(F.count("*").alias("_rows"), F.sum("copies").alias("_copies"))
+    wide = packed.select("_row", key, "_size").withColumn("_n", F.row_number().over(W.partitionBy("_k", "_size").orderBy(F.lit(0))))
+    copies = F.floor(F.col("_copies") / F.col("_rows")) + F.when(F.col("_n") <= F.col("_copies") % F.col("_rows"), 1).otherwise(0)
+    each = wide.join(plan, ["_k", "_size"]).select("_row", F.explode(F.array_repeat(F.lit(0), copies.cast("int"))).alias("_copy"))
+    return each.select("_row.*")
 
 
 def op1_mix(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -15,7 +15,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from helixloom.llm.common import materialize, table, words
+from helixloom.llm.common import materialize, table, where_once, words
 
 KINDS = ("email", "ip", "card", "phone")
 #: Distinct seed values that a pattern needs in a kind, the least confidence of a pattern and of an instance, and rounds.
@@ -139,60 +139,63 @@ def _context_totals(docs: DataFrame, patterns: DataFrame) -> DataFrame:
     return every.join(wanted, "_word").groupBy("pattern").agg(F.count("*").alias("total"))
 
 
-def discover(runs: DataFrame, texts: DataFrame, *, support: int = SUPPORT, confident: float = CONFIDENT, accept: float = ACCEPT, rounds: int = ROUNDS) -> tuple[DataFrame, list[str]]:
-    """(rid, start, kind, stop) of added spans, and the paths of the tables it reads.
+def discover(runs: DataFrame, texts: DataFrame, *, support: int = SUPPORT, confident: float = CONFIDENT, accept: float = ACCEPT, rounds: int = ROUNDS) -> DataFrame | None:
+    """(k1, k2, start, kind, stop) of added spans by content key, or None if there are none.
 
-    ``runs``: (rid, runs) of every document; ``texts``: (text), read only in rounds that have strong patterns. Each round is
+    ``runs``: (k1, k2, runs) of every document; ``texts``: (text), read only in rounds that have strong patterns. Each round is
     two aggregations over candidate occurrences, which are a small part of all words."""
     spark = runs.sparkSession
-    runs = runs.select("rid", F.explode("runs").alias("r")).select("rid", "r.*")
-    runs, runs_path = materialize(runs, "pii-runs")
-    paths = [runs_path]
+    runs, _ = materialize(runs.select("k1", "k2", F.explode("runs").alias("r")).select("k1", "k2", "r.*"), "pii-runs")
     accepted = spark.createDataFrame([], "value string, akind int")
-    found = spark.createDataFrame([], "rid bigint, start int, kind int, stop int")
+    found = None
     for _ in range(rounds):
-        seeds = runs.join(accepted, "value", "left").select("rid", "start", "stop", "value", "patterns", "kind", F.coalesce("kind", "akind").alias("seed"))
+        seeds = runs.join(accepted, "value", "left").select("k1", "k2", "start", "stop", "value", "patterns", "kind", F.coalesce("kind", "akind").alias("seed"))
         edges = seeds.select("*", F.explode("patterns").alias("pattern"))
         by_kind = edges.groupBy("pattern", "seed").agg(F.count("*").alias("n"), F.count_distinct("value").alias("values"))
         candidates = by_kind.groupBy("pattern").agg(F.sum("n").alias("candidates"))
         strong = (
             by_kind.where(F.col("seed").isNotNull() & (F.col("values") >= support)).join(candidates, "pattern").where(F.col("n") >= confident * F.col("candidates"))
         )
-        strong, path = materialize(strong, "pii-patterns")
-        paths.append(path)
+        strong, _ = materialize(strong, "pii-patterns")
         if strong.isEmpty():
             break
         totals = _context_totals(texts, strong)
         scored = strong.join(totals, "pattern", "left").withColumn("confidence", F.least(F.lit(1.0), F.col("n") / F.coalesce("total", "candidates"))).where(F.col("confidence") >= confident)
-        fresh = edges.where(F.col("kind").isNull() & (F.length("value") >= 4)).select("rid", "start", "stop", "value", "pattern")
+        fresh = edges.where(F.col("kind").isNull() & (F.length("value") >= 4)).select("k1", "k2", "start", "stop", "value", "pattern")
         scored = scored.select("pattern", F.col("seed").alias("akind"), "confidence")
         # one minus the product of doubts; a certain pattern has doubt 0, kept above it so that the logarithm exists
         doubt = F.sum(F.log(F.greatest(F.lit(1e-9), 1 - F.col("confidence"))))
-        rated = fresh.join(scored, "pattern").groupBy("rid", "start", "stop", "value", "akind").agg((1 - F.exp(doubt)).alias("score")).where(F.col("score") >= accept)
-        rated, path = materialize(rated, "pii-accepted")
-        paths.append(path)
-        found = rated.groupBy("rid", "start", "stop").agg(F.max_by("akind", F.struct("score", -F.col("akind"))).alias("kind")).select("rid", "start", "kind", "stop")
+        # equal texts are one instance here: its doubts count once
+        edge = fresh.join(scored, "pattern").select("k1", "k2", "start", "stop", "value", "akind", "pattern", "confidence").distinct()
+        rated = edge.groupBy("k1", "k2", "start", "stop", "value", "akind").agg((1 - F.exp(doubt)).alias("score")).where(F.col("score") >= accept)
+        rated, _ = materialize(rated, "pii-accepted")
         before = accepted.count()
         accepted = rated.groupBy("value").agg(F.max_by("akind", F.struct("score", -F.col("akind"))).alias("akind"))
+        if (now := accepted.count()) == 0:
+            break
         # an accepted value counts wherever it stands
-        found = found.unionByName(
-            runs.where("kind IS NULL").join(accepted, "value").select("rid", "start", F.col("akind").alias("kind"), "stop")
-        ).groupBy("rid", "start", "stop").agg(F.min("kind").alias("kind")).select("rid", "start", "kind", "stop")
-        if accepted.count() == before:
+        everywhere = runs.where("kind IS NULL").join(accepted, "value")
+        found = everywhere.groupBy("k1", "k2", "start", "stop").agg(F.min("akind").alias("kind")).select("k1", "k2", "start", "kind", "stop")
+        if now == before:
             break
-    return found, paths
+    return found
 
 
 def detect(docs: DataFrame, columns: tuple[str, ...] = ("doc_id",)) -> DataFrame:
     """(_row, base, spans): the named columns as a struct, base spans and all spans, of every row of ``docs`` (with ``text``).
 
-    The texts are read once for spans and candidates, which are written; later steps join what was written."""
-    packed = docs.select(F.struct(*columns).alias("_row"), "text", F.monotonically_increasing_id().alias("rid"))
-    narrow, _ = materialize(candidate_runs(base_spans(packed)).select("_row", "rid", "base", "runs"), "pii-marked")
-    added, _ = discover(narrow.select("rid", "runs"), docs.select("text"))
-    more = added.groupBy("rid").agg(F.collect_list(F.struct("start", "kind", "stop")).cast(SPAN).alias("_more"))
+    Spans depend on the text alone, so what contexts add is keyed by two hashes of the text and meets the rows in a join; without
+    additions there is none, and no text is written or shuffled."""
+    key = [F.xxhash64("text").alias("k1"), F.xxhash64("text", F.lit(1)).alias("k2")]
+    seen = candidate_runs(base_spans(docs.select("text", *key)))
+    added = discover(where_once(seen.select("k1", "k2", "runs"), F.size("runs") > 0), docs.select("text"))
+    based = base_spans(docs.select(F.struct(*columns).alias("_row"), "text", *key))
+    if added is None:
+        return based.select("_row", "base", F.col("base").alias("spans"))
+    more = added.groupBy("k1", "k2").agg(F.collect_list(F.struct("start", "kind", "stop")).cast(SPAN).alias("_more"))
+    more, _ = materialize(more, "pii-added")
     both = F.array_sort(F.concat("base", F.coalesce("_more", F.array().cast(SPAN))))
-    return narrow.join(more, "rid", "left").select("_row", "base", both.alias("spans"))
+    return based.join(more, ["k1", "k2"], "left").select("_row", "base", both.alias("spans"))
 
 
 def written(spans: Column | str) -> Column:

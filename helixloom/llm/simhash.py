@@ -20,6 +20,7 @@ import numpy as np
 import pyarrow as pa
 import xxhash
 from pyspark.sql import Column, DataFrame, SparkSession
+from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 from helixloom.llm.common import materialize, table
@@ -216,13 +217,17 @@ def near_duplicates(docs: DataFrame, **how) -> DataFrame:
 
 
 def one_of_each(docs: DataFrame, **how) -> DataFrame:
-    """The rows of ``docs`` that come first in their group of near-duplicates (least id, null last), with their columns."""
-    packed = docs.select(F.struct(*docs.columns).alias("_row"), F.col("doc_id").alias("_doc"), F.monotonically_increasing_id().alias("_rid"), "text")
-    wide, _ = materialize(with_fingerprint(packed), "simhash-docs")
-    narrow = wide.select("_doc", "_rid", "fp")
-    grouped = narrow.join(_group_roots(narrow, **how), "fp")
-    first = grouped.groupBy("root").agg(F.min(F.struct(F.col("_doc").isNull(), "_doc", "_rid")).alias("m")).select(F.col("m._rid").alias("_rid"))
-    return wide.join(first, "_rid", "left_semi").select("_row.*")
+    """The rows of ``docs`` that come first in their group of near-duplicates (least id, null last), with their columns.
+
+    Rows are named by id and hash of the text; the texts are shuffled once, by that name, to meet the names that stay."""
+    name = [F.col("doc_id").isNull().alias("_null"), F.coalesce(F.col("doc_id").cast("string"), F.lit("")).alias("_id"), F.xxhash64("text").alias("_hash")]
+    marked, _ = materialize(with_fingerprint(docs.select("doc_id", *name, "text")), "simhash-fp")
+    grouped = marked.join(_group_roots(marked.select("fp"), **how), "fp")
+    first = grouped.groupBy("root").agg(F.min(F.struct("_null", "doc_id", "_id", "_hash")).alias("m")).select("m._null", "m._id", "m._hash")
+    own = ["_null", "_id", "_hash"]
+    number = F.row_number().over(W.partitionBy(*own).orderBy(F.lit(0)))
+    rows = docs.select(F.struct(*docs.columns).alias("_row"), *name).join(first, own).withColumn("_n", number)
+    return rows.where("_n = 1").select("_row.*")
 
 
 def _group_roots(marked: DataFrame, **how) -> DataFrame:
