@@ -21,7 +21,7 @@ from pyspark.sql import functions as F
 
 from helixloom.llm.common import materialize, table, where_once
 from helixloom.llm.pii import KINDS, base_spans
-from helixloom.llm.token_files import VOCABULARY, Encoder
+from helixloom.llm.token_files import VOCABULARY, encoder
 
 LEAF = 512
 EDITS = "array<struct<start:int,stop:int,text:string>>"
@@ -110,19 +110,20 @@ class TokenTree:
 
 
 def _counter(path: str):
-    encoder = Encoder(path)
-    width = encoder.dtype().itemsize
-    return lambda text: len(encoder.encode(text)) // width
+    coder = encoder(path)
+    return lambda text: len(coder.encode(text)) // coder.dtype.itemsize
 
 
 def _grow(path: str, leaf: int):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        count = None
         for batch in batches:
-            count = count or _counter(path)
-            leaves = [cut(t.as_py() or "", leaf) for t in batch.column("text")]
-            chars = pa.array([[len(x) for x in doc] for doc in leaves], pa.list_(pa.int32()))
-            tokens = pa.array([[count(x) for x in doc] for doc in leaves], pa.list_(pa.int32()))
+            coder = encoder(path)
+            chars, tokens = [], []
+            for t in batch.column("text"):
+                leaves = cut(t.as_py() or "", leaf)
+                chars.append([len(x) for x in leaves])
+                tokens.append([len(x) // coder.dtype.itemsize for x in coder.stream(leaves)])
+            chars, tokens = (pa.array(x, pa.list_(pa.int32())) for x in (chars, tokens))
             yield pa.RecordBatch.from_arrays([batch.column("doc_id"), batch.column("rid"), chars, tokens], ["doc_id", "rid", "leaf_chars", "leaf_tokens"])
 
     return run

@@ -2,7 +2,7 @@
 
 Documents in ascending id order are one long row of ids, each closed by an end id, cut into sequences of fixed length. A file
 holds a range of documents: an Arrow IPC stream whose record batches have two fixed-size-list columns, ``ids`` (uint16 where the
-vocabulary fits, else uint32) and ``mask`` (1 where a token stands, 0 where the last sequence is padded). All batches but the
+vocabulary fits, else uint32) and ``mask`` (bits, lowest first, eight to a byte: 1 where a token stands, 0 where the last sequence is padded). All batches but the
 last have the same number of rows, nothing is compressed and lists have no offsets, so a memory map gives sequence i of a file
 without copying. A second stream beside it names the documents: id, first token in the file, number of tokens.
 
@@ -18,9 +18,12 @@ table gives no file and an empty result; further columns are left alone.
 
 from __future__ import annotations
 
+import os
+import re
 import uuid
 import zlib
-from collections.abc import Iterator
+from collections.abc import Iterable, Iterator
+from functools import lru_cache
 
 import numpy as np
 import pyarrow as pa
@@ -32,34 +35,106 @@ from pyspark.sql import functions as F
 from helixloom.llm.common import materialize, new_path, spread, table
 
 LENGTH, ROWS, END_ID = 1024, 64, 1
-#: Words whose ids a task remembers.
-REMEMBERED = 1_000_000
+#: Words whose ids a worker remembers, and characters that it splits into words at once.
+REMEMBERED, AT_ONCE = 500_000, 1 << 20
 VOCABULARY = "word_bpe_49k.json"
 
 
+#: A word's letters up to its first other character. Nothing in the vocabulary's rules reaches over that place if ASCII follows.
+_LETTERS = re.compile("[A-Za-z\u00c0-\u00d6\u00d8-\u00f6\u00f8-\u00ff]+")
+
+
 class Encoder:
-    """Ids of texts, word by word."""
+    """Ids of texts, word by word. A word's ids are remembered, and new words go to the tokenizer many at a time.
+
+    What is remembered has two generations: when the young one is full, it becomes the old one, and what is used again from there
+    is young anew."""
 
     def __init__(self, path: str):
+        os.environ["TOKENIZERS_PARALLELISM"] = "false"  # tasks are the parallelism
         from tokenizers import Tokenizer
 
         self.tokenizer = Tokenizer.from_file(path)
-        self.dtype = np.uint16 if self.tokenizer.get_vocab_size() <= 1 << 16 else np.uint32
+        self.dtype = np.dtype(np.uint16 if self.tokenizer.get_vocab_size() <= 1 << 16 else np.uint32)
         self.known: dict[str, bytes] = {}
+        self.old: dict[str, bytes] = {}
+        #: A special token parts any words within one call; for runs of letters, the vocabulary's own word ends do.
+        self.mark, self.mark_id = next(((t.content, i) for i, t in self.tokenizer.get_added_tokens_decoder().items() if t.special), (None, None))
+        self.ends_word = np.zeros(self.tokenizer.get_vocab_size(), bool)
+        self.ends_word[[i for t, i in self.tokenizer.get_vocab().items() if t.endswith("</w>")]] = True
+
+    def _alone(self, words: list[str]) -> dict[str, bytes]:
+        return {w: np.array(e.ids, self.dtype).tobytes() for w, e in zip(words, self.tokenizer.encode_batch_fast(words, add_special_tokens=False), strict=True)}
+
+    def _marked(self, words: list[str]) -> dict[str, bytes]:
+        """Ids of any words, the special token between them."""
+        out = self._alone([w for w in words if self.mark is None or self.mark in w])
+        rest = [w for w in words if w not in out]
+        for k in range(0, len(rest), 256):
+            part = rest[k : k + 256]
+            ids = np.array(self.tokenizer.encode(self.mark.join(part), add_special_tokens=False).ids, self.dtype)
+            at = np.r_[-1, np.flatnonzero(ids == self.mark_id), len(ids)].tolist()
+            out |= {w: ids[lo + 1 : hi].tobytes() for w, lo, hi in zip(part, at, at[1:], strict=False)}
+        return out
+
+    def _letters(self, words: list[str]) -> dict[str, bytes]:
+        """Ids of runs of letters, which are one word each to the vocabulary."""
+        if not self.ends_word.any():
+            return self._marked(words)
+        out, width = {}, self.dtype.itemsize
+        for k in range(0, len(words), 1024):
+            part = words[k : k + 1024]
+            ids = np.array(self.tokenizer.encode(" ".join(part), add_special_tokens=False).ids, self.dtype)
+            ends, data, at = (np.flatnonzero(self.ends_word[ids]) + 1).tolist(), ids.tobytes(), 0
+            for w, end in zip(part, ends, strict=True):
+                out[w] = data[at * width : end * width]
+                at = end
+        return out
+
+    def _learn(self, words: list[str]) -> None:
+        parted, heads, tails = [], set(), set()
+        for w in words:
+            m = _LETTERS.match(w)
+            cut = m.end() if m and (m.end() == len(w) or w[m.end()] < "\x80") else 0
+            parted.append((w[:cut], w[cut:]))
+            heads.add(w[:cut])
+            tails.add(w[cut:])
+        head, tail = self._letters(list(heads - {""})), self._marked(list(tails - {""}))
+        head[""] = tail[""] = b""
+        self.known.update({w: head[x] + tail[y] for w, (x, y) in zip(words, parted, strict=True)})
+
+    def encode_all(self, texts: list[str | None]) -> list[bytes]:
+        """The ids of each text, little-endian, without end ids."""
+        parts = [(t or "").replace("\n", " ").split(" ") for t in texts]
+        words = set().union(*parts)
+        if missing := words - self.known.keys():
+            if len(self.known) + len(missing) > REMEMBERED:
+                self.known, self.old, missing = {}, self.known, words
+            again = {w: self.old[w] for w in missing if w in self.old}
+            self.known.update(again)
+            self._learn(list(missing - again.keys()))
+        return [b"".join(map(self.known.__getitem__, p)) for p in parts]
 
     def encode(self, text: str | None) -> bytes:
-        """The ids of a text, little-endian, without end id."""
-        parts, known = (text or "").replace("\n", " ").split(" "), self.known
-        if missing := {w for w in parts if w not in known}:
-            if len(known) + len(missing) > REMEMBERED:
-                known.clear()
-                missing = set(parts)
-            new = list(missing)
-            for k in range(0, len(new), 4096):
-                part = new[k : k + 4096]
-                for w, e in zip(part, self.tokenizer.encode_batch_fast(part, add_special_tokens=False), strict=True):
-                    known[w] = np.array(e.ids, self.dtype).tobytes()
-        return b"".join([known[w] for w in parts])
+        return self.encode_all([text])[0]
+
+    def stream(self, texts: Iterable[str | None]) -> Iterator[bytes]:
+        """The same for many texts, so many characters at a time."""
+        held, size = [], 0
+        for t in texts:
+            held.append(t)
+            size += len(t or "")
+            if size >= AT_ONCE:
+                yield from self.encode_all(held)
+                held, size = [], 0
+        if held:
+            yield from self.encode_all(held)
+
+
+@lru_cache(maxsize=1)
+def encoder(path: str) -> Encoder:
+    """One for a worker process, whatever tasks it runs."""
+    return Encoder(path)
 
 
 def _filesystem(uri: str) -> tuple[fs.FileSystem, str]:
@@ -74,7 +149,9 @@ class Writer:
         self.fs.create_dir(self.path.rpartition("/")[0], recursive=True)
         self.part = f"{self.path}.{uuid.uuid4().hex[:8]}"
         self.dtype, self.length, self.rows = np.dtype(dtype), length, rows
-        self.schema = pa.schema([("ids", pa.list_(pa.from_numpy_dtype(dtype), length)), ("mask", pa.list_(pa.uint8(), length))])
+        if length % 8:
+            raise ValueError("the length is a multiple of 8")
+        self.schema = pa.schema([("ids", pa.list_(pa.from_numpy_dtype(self.dtype), length)), ("mask", pa.list_(pa.uint8(), length // 8))])
         self.sink = self.fs.open_output_stream(self.part)
         self.stream = ipc.new_stream(self.sink, self.schema)
         self.held, self.size = [], 0
@@ -91,9 +168,8 @@ class Writer:
             self.held, self.size = [rest.tobytes()], len(rest)
 
     def _batch(self, ids: np.ndarray, n: int) -> None:
-        mask = np.zeros(len(ids), np.uint8)
-        mask[:n] = 1
-        lists = [pa.FixedSizeListArray.from_arrays(pa.array(x), self.length) for x in (ids, mask)]
+        mask = np.packbits(np.arange(len(ids)) < n, bitorder="little")
+        lists = [pa.FixedSizeListArray.from_arrays(pa.array(x), size) for x, size in ((ids, self.length), (mask, self.length // 8))]
         self.stream.write_batch(pa.RecordBatch.from_arrays(lists, schema=self.schema))
 
     def close(self) -> None:
@@ -121,9 +197,9 @@ class SequenceFile:
         return sum(map(len, self.batches))
 
     def __getitem__(self, i: int) -> tuple[np.ndarray, np.ndarray]:
-        """(ids, mask) of sequence i, views of the file."""
+        """(ids, packed mask) of sequence i, views of the file."""
         batch, row = self.batches[i // self.rows], i % self.rows
-        return tuple(batch.column(c).values.to_numpy(zero_copy_only=True)[row * self.length : (row + 1) * self.length] for c in (0, 1))
+        return tuple(batch.column(c).values.to_numpy(zero_copy_only=True)[row * n : (row + 1) * n] for c, n in ((0, self.length), (1, self.length // 8)))
 
     def ids(self, start: int, n: int) -> np.ndarray:
         """Ids start .. start + n of the file's documents."""
@@ -140,31 +216,25 @@ def _writer(folder: str, path: str, length: int, rows: int, end_id: int):
     """mapInArrow over rows (part, doc_id, text), sorted within each part; returns (part, doc_id, first, n_tokens, file)."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        encoder, writer, part, at = None, None, None, 0
-        end = None
+        writer, part, at = None, None, 0
         for batch in batches:
-            if not len(batch):
-                continue
-            encoder = encoder or Encoder(path)
-            end = np.array([end_id], encoder.dtype).tobytes()
-            first, count, files = [], [], []
-            for p, text in zip(batch.column("part").to_pylist(), batch.column("text"), strict=True):
+            coder = encoder(path)
+            end, width = np.array([end_id], coder.dtype).tobytes(), coder.dtype.itemsize
+            parts = batch.column("part").to_pylist()
+            first, count = [], []
+            for p, ids in zip(parts, coder.stream(t.as_py() for t in batch.column("text")), strict=True):
                 if p != part:
                     if writer:
                         writer.close()
                     part, at = p, 0
-                    writer = Writer(f"{folder}/part-{p:06d}.arrows", encoder.dtype, length, rows)
-                ids = encoder.encode(text.as_py()) + end
-                writer.add(ids)
-                n = len(ids) // writer.dtype.itemsize
+                    writer = Writer(f"{folder}/part-{p:06d}.arrows", coder.dtype, length, rows)
+                writer.add(ids + end)
                 first.append(at)
-                count.append(n)
-                files.append(f"part-{p:06d}.arrows")
-                at += n
-            yield pa.RecordBatch.from_arrays(
-                [pa.array(batch.column("part").to_pylist(), pa.int32()), batch.column("doc_id"), pa.array(first, pa.int64()), pa.array(count, pa.int64()), pa.array(files, pa.string())],
-                ["part", "doc_id", "first", "n_tokens", "file"],
-            )
+                count.append(len(ids) // width + 1)
+                at += count[-1]
+            files = pa.array([f"part-{p:06d}.arrows" for p in parts], pa.string())
+            columns = [pa.array(parts, pa.int32()), batch.column("doc_id"), pa.array(first, pa.int64()), pa.array(count, pa.int64()), files]
+            yield pa.RecordBatch.from_arrays(columns, ["part", "doc_id", "first", "n_tokens", "file"])
         if writer:
             writer.close()
 
