@@ -18,6 +18,7 @@ table gives no file and an empty result; further columns are left alone.
 
 from __future__ import annotations
 
+import json
 import os
 import re
 import uuid
@@ -36,7 +37,7 @@ from helixloom.llm.common import materialize, new_path, spread, table
 
 LENGTH, ROWS, END_ID = 1024, 64, 1
 #: Words whose ids a worker remembers, and characters that it splits into words at once.
-REMEMBERED, AT_ONCE = 500_000, 1 << 20
+REMEMBERED, AT_ONCE = 800_000, 1 << 22
 VOCABULARY = "word_bpe_49k.json"
 
 
@@ -56,6 +57,9 @@ class Encoder:
 
         self.tokenizer = Tokenizer.from_file(path)
         self.dtype = np.dtype(np.uint16 if self.tokenizer.get_vocab_size() <= 1 << 16 else np.uint32)
+        rules = json.loads(self.tokenizer.to_str())
+        #: Whether white space parts words for good and case does not count; other vocabularies get whole texts.
+        self.by_word = rules["model"].get("end_of_word_suffix") == "</w>" and '"Lowercase"' in json.dumps(rules["normalizer"])
         self.known: dict[str, bytes] = {}
         self.old: dict[str, bytes] = {}
         #: A special token parts any words within one call; for runs of letters, the vocabulary's own word ends do.
@@ -79,8 +83,6 @@ class Encoder:
 
     def _letters(self, words: list[str]) -> dict[str, bytes]:
         """Ids of runs of letters, which are one word each to the vocabulary."""
-        if not self.ends_word.any():
-            return self._marked(words)
         out, width = {}, self.dtype.itemsize
         for k in range(0, len(words), 1024):
             part = words[k : k + 1024]
@@ -92,25 +94,38 @@ class Encoder:
         return out
 
     def _learn(self, words: list[str]) -> None:
-        parted, heads, tails = [], set(), set()
+        """ASCII words go through their lower case, which the vocabulary reads them as; others as a run of letters and a rest."""
+        parted, heads, tails = {}, set(), set()
         for w in words:
-            m = _LETTERS.match(w)
-            cut = m.end() if m and (m.end() == len(w) or w[m.end()] < "\x80") else 0
-            parted.append((w[:cut], w[cut:]))
-            heads.add(w[:cut])
-            tails.add(w[cut:])
-        head, tail = self._letters(list(heads - {""})), self._marked(list(tails - {""}))
-        head[""] = tail[""] = b""
-        self.known.update({w: head[x] + tail[y] for w, (x, y) in zip(words, parted, strict=True)})
+            if w.isascii() and w.isalpha():
+                head, tail = w.lower(), ""
+            else:
+                m = _LETTERS.match(w)
+                cut = m.end() if m and (m.end() == len(w) or w[m.end()] < "\x80") else 0
+                head, tail = w[:cut], w[cut:]
+                if head.isascii():
+                    head = head.lower()
+                tails.add(tail)
+            heads.add(head)
+            parted[w] = head, tail
+        known = {h: self.known[h] for h in heads & self.known.keys()}
+        known |= {h: self.old[h] for h in heads & self.old.keys()}
+        known |= self._letters(list(heads - known.keys() - {""}))
+        rest = self._marked(list(tails - {""}))
+        known[""] = rest[""] = b""
+        self.known.update({w: known[x] + rest[y] if y else known[x] for w, (x, y) in parted.items()})
 
     def encode_all(self, texts: list[str | None]) -> list[bytes]:
         """The ids of each text, little-endian, without end ids."""
+        if not self.by_word:
+            batch = self.tokenizer.encode_batch_fast([t or "" for t in texts], add_special_tokens=False)
+            return [np.array(e.ids, self.dtype).tobytes() for e in batch]
         parts = [(t or "").replace("\n", " ").split(" ") for t in texts]
         words = set().union(*parts)
         if missing := words - self.known.keys():
             if len(self.known) + len(missing) > REMEMBERED:
                 self.known, self.old, missing = {}, self.known, words
-            again = {w: self.old[w] for w in missing if w in self.old}
+            again = {w: self.old[w] for w in missing & self.old.keys()}
             self.known.update(again)
             self._learn(list(missing - again.keys()))
         return [b"".join(map(self.known.__getitem__, p)) for p in parts]

@@ -25,6 +25,13 @@ def test_words_give_the_ids_of_whole_texts(monkeypatch):
     assert [np.frombuffer(x, encoder.dtype).tolist() for x in encoder.stream(texts)] == whole(texts)
 
 
+def test_other_vocabularies_get_whole_texts():
+    path, text = public_tokenizers.path("byte_bpe_50k.json"), "Some  text\nwith  Spaces "
+    coder = X.Encoder(path)
+    want = Tokenizer.from_file(path).encode(text, add_special_tokens=False).ids
+    assert not coder.by_word and np.frombuffer(coder.encode(text), coder.dtype).tolist() == want
+
+
 def test_query(spark, sf):
     docs = sorted((r.doc_id, r.text) for r in spark.read.parquet(f"{sf}/documents.parquet").select("doc_id", "text").collect())
     want, at = {}, 0
