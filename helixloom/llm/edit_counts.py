@@ -118,11 +118,10 @@ def _grow(path: str, leaf: int):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             coder = encoder(path)
-            chars, tokens = [], []
-            for t in batch.column("text"):
-                leaves = cut(t.as_py() or "", leaf)
-                chars.append([len(x) for x in leaves])
-                tokens.append([len(x) // coder.dtype.itemsize for x in coder.stream(leaves)])
+            docs = [cut(t.as_py() or "", leaf) for t in batch.column("text")]
+            ids = coder.stream(x for doc in docs for x in doc)
+            chars = [[len(x) for x in doc] for doc in docs]
+            tokens = [[len(next(ids)) // coder.dtype.itemsize for _ in doc] for doc in docs]
             chars, tokens = (pa.array(x, pa.list_(pa.int32())) for x in (chars, tokens))
             yield pa.RecordBatch.from_arrays([batch.column("doc_id"), batch.column("rid"), chars, tokens], ["doc_id", "rid", "leaf_chars", "leaf_tokens"])
 

@@ -108,11 +108,11 @@ class Encoder:
                 tails.add(tail)
             heads.add(head)
             parted[w] = head, tail
-        known = {h: self.known[h] for h in heads & self.known.keys()}
-        known |= {h: self.old[h] for h in heads & self.old.keys()}
-        known |= self._letters(list(heads - known.keys() - {""}))
+        known = {h: self.known[h] if h in self.known else self.old[h] for h in heads if h in self.known or h in self.old}
+        known[""] = b""
+        known |= self._letters(list(heads.difference(known)))
         rest = self._marked(list(tails - {""}))
-        known[""] = rest[""] = b""
+        rest[""] = b""
         self.known.update({w: known[x] + rest[y] if y else known[x] for w, (x, y) in parted.items()})
 
     def encode_all(self, texts: list[str | None]) -> list[bytes]:
@@ -122,12 +122,12 @@ class Encoder:
             return [np.array(e.ids, self.dtype).tobytes() for e in batch]
         parts = [(t or "").replace("\n", " ").split(" ") for t in texts]
         words = set().union(*parts)
-        if missing := words - self.known.keys():
+        if missing := words.difference(self.known):  # a dict as it is: its keys() would be walked whole
             if len(self.known) + len(missing) > REMEMBERED:
                 self.known, self.old, missing = {}, self.known, words
-            again = {w: self.old[w] for w in missing & self.old.keys()}
+            again = {w: self.old[w] for w in missing if w in self.old}
             self.known.update(again)
-            self._learn(list(missing - again.keys()))
+            self._learn(list(missing.difference(again)))
         return [b"".join(map(self.known.__getitem__, p)) for p in parts]
 
     def encode(self, text: str | None) -> bytes:
