@@ -53,21 +53,22 @@ def template_reads(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def calls(spark: SparkSession, sf_dir: str, side: str) -> DataFrame:
-    """Evaluated calls (key, cat, vtype, size) of one of two pipelines from orders."""
+    """Evaluated calls (key, cat, vtype, size) of one of two pipelines from orders; a tenth of each side are variants of its own."""
     o = table(spark, sf_dir, "orders", "o_orderkey", "o_custkey")
     k, c = F.col("o_orderkey"), F.col("o_custkey")
     cats = F.array(F.lit("TP"), F.lit("FN"), F.lit("GT"))
     turn = (k if side == "a" else k + c) % 3
     size = (c % 41 - 20).cast("int")
-    return o.where(k % 10 != (9 if side == "a" else 8)).select(
-        k.alias("key"), F.when(k % 10 > 6, "FP").otherwise(F.get(cats, turn.cast("int"))).alias("cat"), F.when(size == 0, "SNP").otherwise("INDEL").alias("vtype"), size.alias("size")
+    own = k % 10 == (9 if side == "a" else 8)
+    return o.select(
+        F.when(own, -k).otherwise(k).alias("key"), F.when(k % 10 > 6, "FP").otherwise(F.get(cats, turn.cast("int"))).alias("cat"), F.when(size == 0, "SNP").otherwise("INDEL").alias("vtype"), size.alias("size")
     )
 
 
-CALLS = """ca AS (SELECT o_orderkey AS key, CASE WHEN o_orderkey % 10 > 6 THEN 'FP' ELSE ['TP','FN','GT'][CAST(o_orderkey % 3 AS INT) + 1] END AS cat,
-  CASE WHEN o_custkey % 41 = 20 THEN 'SNP' ELSE 'INDEL' END AS vtype, CAST(o_custkey % 41 - 20 AS INT) AS size FROM orders WHERE o_orderkey % 10 <> 9),
-cb AS (SELECT o_orderkey AS key, CASE WHEN o_orderkey % 10 > 6 THEN 'FP' ELSE ['TP','FN','GT'][CAST((o_orderkey + o_custkey) % 3 AS INT) + 1] END AS cat,
-  CASE WHEN o_custkey % 41 = 20 THEN 'SNP' ELSE 'INDEL' END AS vtype, CAST(o_custkey % 41 - 20 AS INT) AS size FROM orders WHERE o_orderkey % 10 <> 8)"""
+CALLS = """ca AS (SELECT CASE WHEN o_orderkey % 10 = 9 THEN -o_orderkey ELSE o_orderkey END AS key, CASE WHEN o_orderkey % 10 > 6 THEN 'FP' ELSE ['TP','FN','GT'][CAST(o_orderkey % 3 AS INT) + 1] END AS cat,
+  CASE WHEN o_custkey % 41 = 20 THEN 'SNP' ELSE 'INDEL' END AS vtype, CAST(o_custkey % 41 - 20 AS INT) AS size FROM orders),
+cb AS (SELECT CASE WHEN o_orderkey % 10 = 8 THEN -o_orderkey ELSE o_orderkey END AS key, CASE WHEN o_orderkey % 10 > 6 THEN 'FP' ELSE ['TP','FN','GT'][CAST((o_orderkey + o_custkey) % 3 AS INT) + 1] END AS cat,
+  CASE WHEN o_custkey % 41 = 20 THEN 'SNP' ELSE 'INDEL' END AS vtype, CAST(o_custkey % 41 - 20 AS INT) AS size FROM orders)"""
 
 
 def variants(spark: SparkSession, sf_dir: str) -> DataFrame:
