@@ -63,10 +63,9 @@ def cumulative(counts: DataFrame, value: str, *by: str) -> DataFrame:
 
 def mean_bq(counts: DataFrame, *by: str) -> DataFrame:
     """(by..., base, mean_bq): mean quality by base, over the reads that have a first base."""
-    first = counts.where("base = 0").groupBy(*by).agg(F.sum("count").alias("_n"))
-    sums = counts.groupBy(*by, "base").agg(F.sum(F.col("bq") * F.col("count")).alias("_s"))
-    joined = sums.join(first, list(by)) if by else sums.crossJoin(first)  # a single row of totals
-    return joined.select(*by, "base", (F.col("_s") / F.greatest(F.lit(1), F.col("_n"))).alias("mean_bq"))
+    sums = counts.groupBy(*by, "base").agg(F.sum(F.col("bq") * F.col("count")).alias("_s"), F.sum("count").alias("_c"))
+    first = F.max(F.when(F.col("base") == 0, F.col("_c"))).over(W.partitionBy(*by))  # one row a base
+    return sums.select(*by, "base", (F.col("_s") / F.greatest(F.lit(1), first)).alias("mean_bq"))
 
 
 def name_lengths(names: DataFrame, most: int) -> DataFrame:
