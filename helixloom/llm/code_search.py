@@ -26,7 +26,7 @@ from pyspark.sql import functions as F
 
 from helixloom.llm.common import materialize, table
 
-K, EVERY, SHARD, BLOCK = 10, 20, 65_536, 2048
+K, EVERY, SHARD, BLOCK = 10, 20, 65_536, 512
 SEGMENTS, WIDTH = 4, 16
 _masks: dict[int, np.ndarray] = {}
 
