@@ -123,7 +123,7 @@ def _grow(path: str, leaf: int):
             chars = [[len(x) for x in doc] for doc in docs]
             tokens = [[len(next(ids)) // coder.dtype.itemsize for _ in doc] for doc in docs]
             chars, tokens = (pa.array(x, pa.list_(pa.int32())) for x in (chars, tokens))
-            yield pa.RecordBatch.from_arrays([batch.column("doc_id"), batch.column("rid"), chars, tokens], ["doc_id", "rid", "leaf_chars", "leaf_tokens"])
+            yield pa.RecordBatch.from_arrays([batch.column("doc_id"), batch.column("k1"), batch.column("k2"), chars, tokens], ["doc_id", "k1", "k2", "leaf_chars", "leaf_tokens"])
 
     return run
 
@@ -139,36 +139,43 @@ def _edit(path: str):
                 done = tree.edit(text.as_py() or "", [(e["start"], e["stop"], e["text"] or "") for e in edits.as_py()], count)
                 out.append((tree.total, *done))
             columns = [pa.array([row[k] for row in out], pa.int64()) for k in range(4)]
-            yield pa.RecordBatch.from_arrays([batch.column("rid"), *columns], ["rid", "after", "edits", "leaves", "chars"])
+            yield pa.RecordBatch.from_arrays([batch.column("k1"), batch.column("k2"), *columns], ["k1", "k2", "after", "edits", "leaves", "chars"])
 
     return run
 
 
+def named(docs: DataFrame) -> DataFrame:
+    """(doc_id, text, k1, k2): texts are named by two hashes, so that trees and edits meet by content; equal texts share both."""
+    return docs.select("doc_id", "text", F.xxhash64("text").alias("k1"), F.xxhash64("text", F.lit(1)).alias("k2"))
+
+
 def trees(docs: DataFrame, tokenizer: str, leaf: int = LEAF) -> DataFrame:
-    """(doc_id, rid, leaf_chars, leaf_tokens) of every row of ``docs`` (doc_id, rid, text), written."""
-    schema = f"doc_id {dict(docs.dtypes)['doc_id']}, rid long, leaf_chars array<int>, leaf_tokens array<int>"
-    return materialize(docs.select("doc_id", "rid", "text").mapInArrow(_grow(tokenizer, leaf), schema), "token-trees")[0]
+    """(doc_id, k1, k2, leaf_chars, leaf_tokens) of every row of ``docs`` (``named``), written."""
+    schema = f"doc_id {dict(docs.dtypes)['doc_id']}, k1 long, k2 long, leaf_chars array<int>, leaf_tokens array<int>"
+    return materialize(docs.mapInArrow(_grow(tokenizer, leaf), schema), "token-trees")[0]
 
 
 def recount(grown: DataFrame, edited: DataFrame, tokenizer: str) -> DataFrame:
-    """Counts before and after edits for every tree; ``edited``: (rid, text, edits) of the documents that have edits.
+    """Counts before and after edits for every tree; ``edited``: (k1, k2, text, edits) of the texts that have edits.
 
-    Only those texts and their trees meet; the others' counts come from their trees alone."""
-    touched = edited.join(grown.drop("doc_id"), "rid").select("rid", "text", "edits", "leaf_chars", "leaf_tokens")
-    after = touched.mapInArrow(_edit(tokenizer), "rid long, after long, edits long, leaves long, chars long")
+    Only those texts and their trees meet, once for equal texts; the others' counts come from their trees alone."""
+    one = grown.groupBy("k1", "k2").agg(F.any_value("leaf_chars").alias("leaf_chars"), F.any_value("leaf_tokens").alias("leaf_tokens"))
+    touched = edited.dropDuplicates(["k1", "k2"]).join(one, ["k1", "k2"]).select("k1", "k2", "text", "edits", "leaf_chars", "leaf_tokens")
+    after, _ = materialize(touched.mapInArrow(_edit(tokenizer), "k1 long, k2 long, after long, edits long, leaves long, chars long"), "token-edits")
     total = F.aggregate("leaf_tokens", F.lit(0).cast("long"), lambda a, x: a + x)
     zero = F.lit(0).cast("long")
-    return grown.select("doc_id", "rid", total.alias("n_tokens"), F.size("leaf_tokens").cast("long").alias("n_leaves")).join(after, "rid", "left").select(
+    counted = grown.select("doc_id", "k1", "k2", total.alias("n_tokens"), F.size("leaf_tokens").cast("long").alias("n_leaves"))
+    return counted.join(after, ["k1", "k2"], "left").select(
         "doc_id", "n_tokens", F.coalesce("after", "n_tokens").alias("n_tokens_after"), F.coalesce("edits", zero).alias("n_edits"), "n_leaves",
         F.coalesce("leaves", zero).alias("leaves_encoded"), F.coalesce("chars", zero).alias("chars_encoded"),
     )
 
 
 def redaction_edits(docs: DataFrame) -> DataFrame:
-    """(rid, text, edits) of the documents with base spans of personal data: each span becomes its kind in brackets."""
+    """(k1, k2, text, edits) of the documents with base spans of personal data: each span becomes its kind in brackets."""
     names = F.array(*[F.lit(f"[{k.upper()}]") for k in KINDS])
     edits = F.transform("base", lambda s: F.struct(s.start.alias("start"), s.stop.alias("stop"), F.get(names, s.kind).alias("text"))).cast(EDITS)
-    return where_once(base_spans(docs.select("rid", "text")), F.size("base") > 0).select("rid", "text", edits.alias("edits"))
+    return where_once(base_spans(docs.select("k1", "k2", "text")), F.size("base") > 0).select("k1", "k2", "text", edits.alias("edits"))
 
 
 def op9_edit_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -176,5 +183,5 @@ def op9_edit_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
     import public_tokenizers
 
     path = public_tokenizers.path(VOCABULARY)
-    docs = table(spark, sf_dir, "documents", "doc_id", "text").withColumn("rid", F.monotonically_increasing_id())
+    docs = named(table(spark, sf_dir, "documents", "doc_id", "text"))
     return recount(trees(docs, path), redaction_edits(docs), path)

@@ -218,11 +218,11 @@ def line_hashes(marked: list[tuple[int, str]]) -> list[int]:
 
 
 def _hash_pages(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """(rid, host, path) to the same with the hashes of the page's lines and one hash of them all."""
+    """(k1, k2, host, path) to the same with the hashes of the page's lines and one hash of them all."""
     for batch in batches:
         hashes = [line_hashes(lines(x.as_py())) for x in batch.column("html")]
         whole = [xxhash.xxh3_64_intdigest(np.array(h, np.int64).tobytes()) - (1 << 63) for h in hashes]
-        yield pa.RecordBatch.from_arrays([*(batch.column(c) for c in ("rid", "host", "path")), pa.array(hashes, pa.list_(pa.int64())), pa.array(whole, pa.int64())], ["rid", "host", "path", "hashes", "whole"])
+        yield pa.RecordBatch.from_arrays([*(batch.column(c) for c in ("k1", "k2", "host", "path")), pa.array(hashes, pa.list_(pa.int64())), pa.array(whole, pa.int64())], ["k1", "k2", "host", "path", "hashes", "whole"])
 
 
 def _extract(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -262,14 +262,15 @@ def extract(pages: DataFrame) -> DataFrame:
     url = F.coalesce(F.col("url"), F.lit(""))
     host = F.lower(F.regexp_extract(url, r"^[a-zA-Z][a-zA-Z0-9+.-]*://(?:[^/?#@]*@)?([^/?#:]*)", 1))
     path = F.regexp_replace(F.regexp_replace(url, r"^[a-zA-Z][a-zA-Z0-9+.-]*://[^/?#]*", ""), r"[?#].*$", "")
-    numbered = pages.select("page_id", "url", "html", host.alias("host"), path.alias("path"), F.monotonically_increasing_id().alias("rid"))
-    hashed, _ = materialize(numbered.select("rid", "host", "path", "html").mapInArrow(_hash_pages, "rid long, host string, path string, hashes array<long>, whole long"), "html-lines")
+    # pages are named by two hashes of their html, which are the same whenever and wherever they are computed
+    keyed = pages.select("page_id", "url", "html", host.alias("host"), path.alias("path"), F.xxhash64("html").alias("k1"), F.xxhash64("html", F.lit(1)).alias("k2"))
+    hashed, _ = materialize(keyed.select("k1", "k2", "host", "path", "html").mapInArrow(_hash_pages, "k1 long, k2 long, host string, path string, hashes array<long>, whole long"), "html-lines")
     pairs = neighbours(hashed)
-    content = hashed.groupBy("host", "whole").agg(F.min_by("hashes", "rid").alias("neighbour")).withColumnRenamed("whole", "other")
+    content = hashed.groupBy("host", "whole").agg(F.min_by("hashes", F.struct("k1", "k2")).alias("neighbour")).withColumnRenamed("whole", "other")
     paired = pairs.join(content, ["host", "other"], "left").select("host", "whole", "neighbour")
-    by_row = hashed.select("rid", "host", "whole").join(paired, ["host", "whole"]).select("rid", "neighbour")
-    wide = numbered.join(by_row, "rid", "left").select("page_id", "url", "html", "neighbour")
-    return wide.mapInArrow(_extract, "page_id long, url string, text string")
+    by_page = hashed.select("k1", "k2", "host", "whole").distinct().join(paired, ["host", "whole"]).select("host", "k1", "k2", "neighbour")
+    wide = keyed.join(by_page, ["host", "k1", "k2"], "left").select("page_id", "url", "html", "neighbour")
+    return wide.mapInArrow(_extract, f"page_id {dict(pages.dtypes)['page_id']}, url string, text string")
 
 
 def op5_html_text(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -65,7 +65,7 @@ def test_query(spark, sf):
 
 
 def test_edges(spark):
-    df = spark.createDataFrame([(1, None, 0), (1, "", 1), (None, "a b", 2), (2, "x a@b.cd y", 3)], "doc_id long, text string, rid long")
+    df = X.named(spark.createDataFrame([(1, None, 0), (1, "", 1), (None, "a b", 2), (2, "x a@b.cd y", 3), (2, "x a@b.cd y", 3)], "doc_id long, text string, edits long"))
     got = sorted((r.doc_id or 0, r.n_tokens, r.n_edits) for r in X.recount(X.trees(df, PATH), X.redaction_edits(df), PATH).collect())
-    assert [g[::2] for g in got] == [(0, 0), (1, 0), (1, 0), (2, 1)]
+    assert [g[::2] for g in got] == [(0, 0), (1, 0), (1, 0), (2, 1), (2, 1)]
     assert X.recount(X.trees(df.limit(0), PATH), X.redaction_edits(df.limit(0)), PATH).count() == 0
