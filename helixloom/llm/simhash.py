@@ -220,13 +220,21 @@ def one_of_each(docs: DataFrame, **how) -> DataFrame:
     """The rows of ``docs`` that come first in their group of near-duplicates (least id, null last), with their columns.
 
     Rows are named by id and hash of the text; the texts are shuffled once, by that name, to meet the names that stay."""
-    name = [F.col("doc_id").isNull().alias("_null"), F.coalesce(F.col("doc_id").cast("string"), F.lit("")).alias("_id"), F.xxhash64("text").alias("_hash")]
-    marked, _ = materialize(with_fingerprint(docs.select("doc_id", *name, "text")), "simhash-fp")
-    grouped = marked.join(_group_roots(marked.select("fp"), **how), "fp")
+    marked, _ = materialize(with_fingerprint(docs.select("doc_id", *row_name(), "text")), "simhash-fp")
+    return first_rows(docs, marked.join(_group_roots(marked.select("fp"), **how), "fp"))
+
+
+def row_name() -> list[Column]:
+    """(_null, _id, _hash) of rows with doc_id and text."""
+    return [F.col("doc_id").isNull().alias("_null"), F.coalesce(F.col("doc_id").cast("string"), F.lit("")).alias("_id"), F.xxhash64("text").alias("_hash")]
+
+
+def first_rows(docs: DataFrame, grouped: DataFrame) -> DataFrame:
+    """The first row of ``docs`` for each root of ``grouped`` (doc_id, _null, _id, _hash, root)."""
     first = grouped.groupBy("root").agg(F.min(F.struct("_null", "doc_id", "_id", "_hash")).alias("m")).select("m._null", "m._id", "m._hash")
     own = ["_null", "_id", "_hash"]
     number = F.row_number().over(W.partitionBy(*own).orderBy(F.lit(0)))
-    rows = docs.select(F.struct(*docs.columns).alias("_row"), *name).join(first, own).withColumn("_n", number)
+    rows = docs.select(F.struct(*docs.columns).alias("_row"), *row_name()).join(first, own).withColumn("_n", number)
     return rows.where("_n = 1").select("_row.*")
 
 
