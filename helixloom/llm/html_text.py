@@ -7,7 +7,8 @@ longest common subsequence, and shared lines are deleted: what two neighbouring
 
 Differencing alone deletes an article's own lines where two pages carry the same one, and keeps template lines that differ from
 page to page, such as a footer with the page's address. So marks decide first: furniture never stays, and lines of an article
-stay even if shared. The differences decide on every other line; on a page with an article such lines are dropped in any case.
+stay even if shared. The differences decide on every other line, with one exception: where a page has an article at least as long
+as its unshared other lines, or no differing neighbour, the other lines are dropped. So a small card does not stand for the page.
 
 Defined results: null or empty html gives an empty text; broken markup is read as far as it goes; a null or unusual URL belongs
 to the host "" ; repeated rows get equal texts; a page without a differing neighbour loses no line; an empty table gives an
@@ -202,11 +203,12 @@ def shared_lines(a: list[int], b: list[int]) -> set[int]:
 
 def main_text(marked: list[tuple[int, str]], neighbour: list[int] | None) -> str:
     """The page's main text, given the hashes of the neighbour's lines."""
-    own = [x for x in marked if x[0] != FURNITURE]
     gone = shared_lines(line_hashes(marked), neighbour) if neighbour is not None else set()
-    kept = [(m, t) for k, (m, t) in enumerate(marked) if m != FURNITURE and (m == ARTICLE or k not in gone)]
-    if any(m == ARTICLE for m, _ in own):
-        kept = [x for x in kept if x[0] == ARTICLE]
+    article = [t for m, t in marked if m == ARTICLE]
+    rest = sum(len(t) for k, (m, t) in enumerate(marked) if m == OTHER and k not in gone)
+    # the article is not the main text where the page's own lines outside it are longer
+    alone = article and (neighbour is None or rest <= sum(map(len, article)))
+    kept = [(m, t) for k, (m, t) in enumerate(marked) if m == ARTICLE or m == OTHER and not alone and k not in gone]
     return " ".join(t for _, t in kept)
 
 

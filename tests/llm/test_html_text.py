@@ -61,3 +61,10 @@ def test_differencing(spark):
     assert [got[k] for k in range(6)] == [f"story {k}" for k in range(6)] and got[12] == "story 3"
     assert got[10] == "Site name Since 1999 alone All rights" and got[11] == "" and got[13] == got[14] == "same"
     assert X.extract(df.limit(0)).count() == 0
+
+
+def test_small_card_beside_main_text(spark):
+    page = "<p>Site name</p><div><p>{}</p><p>second part of story {}</p></div><article><p>read on</p></article><p>All rights</p>"
+    rows = [(k, f"http://a.org/n/{k}", page.format(f"a long story with number {k}", k)) for k in range(3)]
+    got = {r.page_id: r.text for r in X.extract(spark.createDataFrame(rows, "page_id long, url string, html string")).collect()}
+    assert got == {k: f"a long story with number {k} second part of story {k} read on" for k in range(3)}
