@@ -38,12 +38,34 @@ def where_once(df: DataFrame, condition: Column) -> DataFrame:
     return df.withColumn("_once", F.monotonically_increasing_id()).where(condition & (F.col("_once") >= 0)).drop("_once")
 
 
+#: Elements that a running fold copies at most once for each element.
+SLICE = 512
+
+
+def running(a: Column, step, kind: str = "int") -> Column:
+    """The running fold of an array by ``step``, from 0: element i holds what elements 0..i give.
+
+    A fold that appends to its own result copies it for each element; here only slices of ``SLICE`` elements grow. ``a`` is a
+    column of the input, so that Spark does not evaluate it again in the lambdas."""
+    zero, empty = F.lit(0).cast(kind), F.array().cast(f"array<{kind}>")
+    slices = F.transform(F.sequence(F.lit(0), F.floor(F.size(a) / SLICE).cast("int")), lambda k: F.slice(a, k * SLICE + 1, SLICE))
+
+    def grown(start: Column, part: Column) -> Column:
+        more = lambda acc, x: F.struct(step(acc.at, x).cast(kind).alias("at"), F.array_append(acc.out, step(acc.at, x).cast(kind)).alias("out"))
+        return F.aggregate(part, F.struct(start.alias("at"), empty.alias("out")), more).out
+
+    ends = grown(zero, F.transform(slices, lambda s: F.aggregate(s, zero, lambda acc, x: step(acc, x).cast(kind))))
+    return F.flatten(F.zip_with(slices, F.concat(F.array(zero), ends), lambda s, start: grown(start, F.coalesce(s, empty))))
+
+
 def shared_dir(spark: SparkSession) -> str:
     """The folder named by ``spark.checkpoint.dir``; a temporary one only where none is set, as in local tests."""
     global _local_dir
     found = spark.sparkContext.getConf().get("spark.checkpoint.dir") or spark.conf.get("spark.checkpoint.dir", None)
     if found:
         return found.rstrip("/")
+    if not spark.sparkContext.master.startswith("local") or spark.sparkContext.master.startswith("local-cluster"):
+        raise ValueError("spark.checkpoint.dir names no folder, and a temporary one would not be seen by all executors")
     if _local_dir is None:
         _local_dir = "file://" + tempfile.mkdtemp(prefix="helixloom-")
     return _local_dir
