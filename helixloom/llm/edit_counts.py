@@ -15,6 +15,7 @@ from __future__ import annotations
 import re
 from collections.abc import Iterator
 
+import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -75,6 +76,19 @@ class TokenTree:
 
     def edit(self, text: str, edits: list[tuple[int, int, str]], count) -> tuple[int, int, int]:
         """Apply edits (start, stop, new text) to the tree of ``text``: (edits applied, leaves encoded, characters encoded)."""
+        applied, regions = self.touched(text, edits)
+        return applied, *self.settle(regions, [count(new) for _, _, new in regions])
+
+    def settle(self, regions: list[tuple[int, int, str]], tokens: list[int]) -> tuple[int, int]:
+        """Put the new texts of regions, with their numbers of tokens, in place of their leaves; the sums above follow."""
+        for (low, high, new), n in zip(regions, tokens, strict=True):
+            self.update(low, len(new), n)
+            for k in range(low + 1, high + 1):
+                self.update(k, 0, 0)
+        return sum(h - low + 1 for low, h, _ in regions), sum(len(new) for _, _, new in regions)
+
+    def touched(self, text: str, edits: list[tuple[int, int, str]]) -> tuple[int, list[tuple[int, int, str]]]:
+        """(edits applied, regions): first leaf, last leaf and new text of what edits touch, boundary context with it."""
         done: list[list] = []  # regions: first leaf, last leaf, new text
         at, applied, end = 0, 0, len(text)
         for start, stop, new in sorted(edits, key=lambda e: (e[0], e[1])):
@@ -102,11 +116,7 @@ class TokenTree:
                     size = self.chars[self.size + low]
                     new, low_at = text[low_at - size : low_at] + new, low_at - size
             regions.append([low, high, new, low_at])
-        for low, high, new, _ in regions:
-            self.update(low, len(new), count(new))
-            for k in range(low + 1, high + 1):
-                self.update(k, 0, 0)
-        return applied, sum(h - low + 1 for low, h, _, _ in regions), sum(len(r[2]) for r in regions)
+        return applied, [(low, high, new) for low, high, new, _ in regions]
 
 
 def _counter(path: str):
@@ -118,11 +128,11 @@ def _grow(path: str, leaf: int):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             coder = encoder(path)
-            docs = [cut(t.as_py() or "", leaf) for t in batch.column("text")]
-            ids = coder.stream(x for doc in docs for x in doc)
-            chars = [[len(x) for x in doc] for doc in docs]
-            tokens = [[len(next(ids)) // coder.dtype.itemsize for _ in doc] for doc in docs]
-            chars, tokens = (pa.array(x, pa.list_(pa.int32())) for x in (chars, tokens))
+            leaves = [cut(t.as_py() or "", leaf) for t in batch.column("text")]
+            flat = [x for doc in leaves for x in doc]
+            ends = pa.array(np.r_[0, np.cumsum([len(doc) for doc in leaves])], pa.int32())
+            counts = (np.fromiter(map(len, flat), np.int64, len(flat)), coder.counts(pa.array(flat, pa.string())))
+            chars, tokens = (pa.ListArray.from_arrays(ends, pa.array(x, pa.int32())) for x in counts)
             yield pa.RecordBatch.from_arrays([batch.column("doc_id"), batch.column("k1"), batch.column("k2"), chars, tokens], ["doc_id", "k1", "k2", "leaf_chars", "leaf_tokens"])
 
     return run
@@ -130,14 +140,16 @@ def _grow(path: str, leaf: int):
 
 def _edit(path: str):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        count = None
         for batch in batches:
-            count = count or _counter(path)
-            out = []
+            coder, work = encoder(path), []
             for text, edits, chars, tokens in zip(*(batch.column(c) for c in ("text", "edits", "leaf_chars", "leaf_tokens")), strict=True):
                 tree = TokenTree(chars.as_py(), tokens.as_py())
-                done = tree.edit(text.as_py() or "", [(e["start"], e["stop"], e["text"] or "") for e in edits.as_py()], count)
-                out.append((tree.total, *done))
+                work.append((tree, *tree.touched(text.as_py() or "", [(e["start"], e["stop"], e["text"] or "") for e in edits.as_py()])))
+            counts = iter(coder.counts(pa.array([new for _, _, regions in work for _, _, new in regions], pa.string())).tolist())
+            out = []
+            for tree, applied, regions in work:
+                done = tree.settle(regions, [next(counts) for _ in regions])
+                out.append((tree.total, applied, *done))
             columns = [pa.array([row[k] for row in out], pa.int64()) for k in range(4)]
             yield pa.RecordBatch.from_arrays([batch.column("k1"), batch.column("k2"), *columns], ["k1", "k2", "after", "edits", "leaves", "chars"])
 

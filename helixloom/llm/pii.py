@@ -33,6 +33,8 @@ NAMES = (*KINDS, *LEARNED)
 SECRET = len(KINDS)
 #: Distinct seed values that a pattern needs in a kind, the least confidence of a pattern and of a value, and the weight of the prior.
 SUPPORT, CONFIDENT, ACCEPT, PULL = 5, 0.8, 0.8, 5.0
+#: The most that a shape says of a learned kind, which has no test of its own: another pattern must agree.
+SHAPE = 0.7
 #: Characters that an added value has at least.
 SHORTEST = 4
 
@@ -206,8 +208,10 @@ def discover(found: DataFrame, *, support: int = SUPPORT, confident: float = CON
         by_kind = edges.groupBy("pattern", "seed").agg(F.count("*").alias("n"), F.count_distinct("value").alias("values"))
         sums = by_kind.groupBy("pattern").agg(F.sum("n").alias("total"))
         confidence = (F.col("n") + PULL * F.element_at(prior, F.col("akind"))) / (F.col("total") + PULL)
+        confidence = F.when(F.col("pattern").startswith("S:") & (F.col("akind") >= SECRET), F.least(F.lit(SHAPE), confidence)).otherwise(confidence)
         strong = by_kind.where(F.col("seed").isNotNull() & (F.col("values") >= support)).join(sums, "pattern").withColumnRenamed("seed", "akind")
-        strong, strong_path = materialize(strong.select("pattern", "akind", confidence.alias("confidence")).where(F.col("confidence") >= confident), "pii-patterns")
+        strong = strong.select("pattern", "akind", confidence.alias("confidence")).where((F.col("confidence") >= confident) | F.col("pattern").startswith("S:") & (F.col("confidence") >= SHAPE))
+        strong, strong_path = materialize(strong, "pii-patterns")
         # one minus the product of doubts; a doubt is above 0 by the prior, held there so that the logarithm exists
         doubt = F.sum(F.log(F.greatest(F.lit(1e-9), 1 - F.col("confidence"))))
         edge = fresh.select("k1", "k2", "start", "value", F.explode("patterns").alias("pattern")).join(strong, "pattern").where(~_refuted(F.col("value"), F.col("akind")))

@@ -74,3 +74,34 @@ def test_redacted_keeps_columns_and_overlaps_merge(spark):
 
 def test_empty_table(spark):
     assert pii.detect(spark.createDataFrame([], "doc_id long, text string")).count() == 0
+
+
+def test_very_long_text_and_clashing_names(spark):
+    text = "7 and " * 40_000 + "me@x.org 10.0.0.1 " * 3_000
+    rows = [(1, text, 5, "a", "b"), (2, None, None, None, None), (3, "me@x.org", 1, "c", "d")]
+    df = spark.createDataFrame(rows, "doc_id long, text string, base int, runs string, k1 string")
+    got = {r[0]: r[1] for r in pii.detect(df, ("doc_id", "base", "runs", "k1")).select("_row.doc_id", pii.written("spans")).collect()}
+    assert got[1] == plain_spans(text) and got[2] == "" and got[3] == "email:0:8"
+    clean = {r.doc_id: r for r in pii.redacted(df).collect()}
+    assert clean[1].text == "7 and " * 40_000 + "[EMAIL] [IP] " * 3_000 and (clean[1].base, clean[1].runs, clean[1].k1) == (5, "a", "b")
+
+
+def test_secrets_by_context_but_no_chance_or_refuted_values(spark):
+    secret = lambda k: hashlib.sha1(str(k).encode()).hexdigest()
+    rows = [(k, f'word{k} token = "{secret(k)}" word{k + 1} now') for k in range(30)]
+    rows += [(50, f'ANY TOKEN = "{secret(50).upper()}"!! now'), (51, "the digest 0123456789abcdef0123 stays"), (52, "token of 2024 stays"), (53, 'commit "0123456789abcdef0124"')]
+    rows += [(100 + k, f"pay with card number 41111111111111{k:02d} today") for k in range(60)]
+    df = spark.createDataFrame(rows, "doc_id long, text string")
+    got = {r[0]: r[1] for r in pii.detect(df).select("_row.doc_id", pii.written("spans")).collect()}
+    assert all(got[k] == f"secret:{14 + len(str(k))}:{54 + len(str(k))}" for k in range(30)) and got[50] == "secret:13:53"
+    assert got[51] == got[52] == got[53] == ""
+    # numbers that fail the test stay out, though their context is that of cards
+    assert all(got[d] == plain_spans(t) for d, t in rows if d >= 100) and sum(got[d] != "" for d, _ in rows if d >= 100) == 6
+
+
+def test_held_out_seeds_are_found_again(spark, sf):
+    rows = [(k, f"write to user{k}@host{k}.org soon") for k in range(200)] + [(300 + k, f"call +1 (212) 555-{1000 + k} please") for k in range(200)]
+    got = {r.kind: r for r in pii.held_out(spark.createDataFrame(rows, "doc_id long, text string")).collect()}
+    assert got["email"].hidden > 9 and got["email"].found == got["email"].hidden and got["phone"].found == got["phone"].hidden > 9
+    assert got["email"].wrong == got["phone"].wrong == 0
+    pii.held_out(spark.read.parquet(f"{sf}/documents.parquet")).collect()
