@@ -186,8 +186,8 @@ def candidates(docs: DataFrame) -> tuple[DataFrame, str]:
 
 
 def _refuted(value: Column, kind: Column) -> Column:
-    """Whether a value has the form of its base kind, whose test it has failed."""
-    return reduce(lambda a, b: a | b, [(kind == KINDS.index(k)) & value.rlike(f) for k, f in FORMS.items()])
+    """Whether a value has the form of its base kind and fails that kind's test."""
+    return reduce(lambda a, b: a | b, [(kind == KINDS.index(k)) & value.rlike(f) & ~_valid(k, value) for k, f in FORMS.items()])
 
 
 def discover(found: DataFrame, *, support: int = SUPPORT, confident: float = CONFIDENT, accept: float = ACCEPT) -> DataFrame:

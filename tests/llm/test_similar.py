@@ -24,8 +24,9 @@ def plain_groups(rows):
     return {rows[i][0] for i in range(len(rows)) if find(i) == i}
 
 
-@pytest.mark.parametrize("small", [64, 2])
-def test_brute_force(spark, small):
+@pytest.mark.parametrize(("small", "block"), [(64, 128), (2, 3)])
+def test_brute_force(spark, monkeypatch, small, block):
+    monkeypatch.setattr(similar, "BLOCK", block)
     rng, texts = random.Random(3), []
     for _ in range(5):
         words = [f"w{rng.randrange(400)}" for _ in range(rng.choice([8, 60, 200]))]
