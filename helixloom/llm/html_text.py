@@ -43,6 +43,8 @@ BLOCK = {
 }
 VOID = {"area", "base", "br", "col", "embed", "hr", "img", "input", "link", "meta", "param", "source", "track", "wbr"}
 RAW = {"script", "style", "textarea", "title", "noscript", "iframe"}
+#: Elements that may stand in a head; any other ends it.
+HEAD = {"head", "title", "base", "link", "meta", "style", "script", "noscript", "template"}
 #: Elements that a new one of the same family, or the end of what holds them, closes.
 SELF_CLOSING = {"p": {"p"}, "li": {"li"}, "dt": {"dt", "dd"}, "dd": {"dt", "dd"}, "tr": {"tr", "td", "th"}, "td": {"td", "th"}, "th": {"td", "th"}, "option": {"option"}}
 NAMES = {
@@ -117,6 +119,8 @@ def lines(page: str | None) -> list[tuple[int, str]]:
             end = re.compile(rf"</{tag}\b[^>]*>", re.I).search(page, at)
             at = end.end() if end else len(page)
         elif tag not in VOID and not m[3].endswith("/"):
+            if tag not in HEAD and (head := next((k for k, x in enumerate(stack) if x[0] == "head"), None)) is not None:
+                del stack[head:]  # its end tag may be left out
             close = SELF_CLOSING.get(tag)
             while close and stack and (stack[-1][0] in close or stack[-1][0] not in BLOCK and any(t in close for t, _, _ in stack)):
                 stack.pop()
@@ -251,9 +255,10 @@ def neighbours(pages: DataFrame) -> DataFrame:
     near = near.join(edges, ["host", "part"]).withColumns({"before": F.coalesce("before", "from_before"), "after": F.coalesce("after", "from_after")})
 
     def shared(side: str):
-        """Length of the common start of two paths, as far as 64 characters."""
+        """Length of the common start of two whole paths: what stands before their first difference."""
         a, b = F.col("path"), F.col(side)["path"]
-        return F.when(F.col(side).isNotNull(), F.size(F.filter(F.sequence(F.lit(1), F.lit(64)), lambda n: F.substring(a, F.lit(1), n) == F.substring(b, F.lit(1), n)))).otherwise(-1)
+        differs = F.array_position(F.zip_with(F.split(a, ""), F.split(b, ""), lambda x, y: F.coalesce(x == y, F.lit(False))), False)
+        return F.when(F.col(side).isNull(), -1).otherwise(F.when(differs == 0, F.length(a)).otherwise(differs - 1))
 
     chosen = near.select("host", "whole", F.when(shared("before") > shared("after"), F.col("before")).otherwise(F.coalesce("after", "before"))["whole"].alias("other"))
     return chosen

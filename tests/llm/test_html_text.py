@@ -68,3 +68,22 @@ def test_small_card_beside_main_text(spark):
     rows = [(k, f"http://a.org/n/{k}", page.format(f"a long story with number {k}", k)) for k in range(3)]
     got = {r.page_id: r.text for r in X.extract(spark.createDataFrame(rows, "page_id long, url string, html string")).collect()}
     assert got == {k: f"a long story with number {k} second part of story {k} read on" for k in range(3)}
+
+
+def test_nearest_url_is_found_beyond_long_common_paths(spark):
+    path = "/" + "x" * 80
+    rows = [(1, f"http://h{path}/x/alpha", "<p>A</p><p>T1</p>"), (2, f"http://h{path}/x/alphb", "<p>B</p><p>T1</p>"), (3, f"http://h{path}/z", "<p>C</p><p>T2</p>")]
+    got = {r.page_id: r.text for r in X.extract(spark.createDataFrame(rows, "page_id long, url string, html string")).collect()}
+    assert got == {1: "A", 2: "B", 3: "C T2"}
+
+
+def test_head_without_end_tag():
+    assert X.lines("<html><head><title>t</title><meta charset=utf-8><body><p>x</p>") == [(X.OTHER, "x")]
+    assert X.lines("<head><style>s</style><div>y</div>") == [(X.OTHER, "y")] and X.lines("<head><title>t</title></head>z") == [(X.OTHER, "z")]
+
+
+def test_very_long_page_and_clashing_names(spark):
+    page = "<article>" + "".join(f"<p>line {k}</p>" for k in range(30_000)) + "</article>"
+    df = spark.createDataFrame([(1, "http://a/1", page, "h", "p"), (2, "http://a/2", page + "<p>z", "h", "p")], "page_id long, url string, html string, host string, path string")
+    want = " ".join(f"line {k}" for k in range(30_000))
+    assert {r.page_id: r.text for r in X.extract(df).collect()} == {1: want, 2: want}
