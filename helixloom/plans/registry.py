@@ -15,7 +15,7 @@ from helixloom.operators import calls as C
 from helixloom.operators import histograms as H
 from helixloom.operators import intervals, models, partition, reads
 from helixloom.operators import variants as V
-from helixloom.plans import sim_queries, views
+from helixloom.plans import operator_queries, sim_queries, views
 from helixloom.plans.views import CALLS, ORDER_READS, READS, SEQUENCES, VARIANTS, table
 
 QUERIES: dict = {}
@@ -30,7 +30,7 @@ def query(sql: str | None = None):
 
 
 def registered() -> dict:
-    return QUERIES | sim_queries.QUERIES
+    return QUERIES | sim_queries.QUERIES | operator_queries.QUERIES
 
 
 def longs(df: DataFrame, *columns: str) -> DataFrame:
