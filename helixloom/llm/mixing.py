@@ -150,7 +150,8 @@ def mixed(docs: DataFrame, **how) -> DataFrame:
     taken = mix(packed.select(F.col("_doc").alias("doc_id"), F.col("_source").alias("source"), F.col("_size").alias("size")), **how)
     plan = taken.select(F.col("doc_id").alias("_doc"), F.col("source").alias("_source"), F.col("size").alias("_size"), "copies").select(key, "_size", "copies")
     plan = plan.groupBy("_k", "_size").agg(F.count("*").alias("_rows"), F.sum("copies").alias("_copies"))
-    wide = packed.select("_row", key, "_size").withColumn("_n", F.row_number().over(W.partitionBy("_k", "_size").orderBy(F.lit(0))))
+    # rows that share all three are told apart by their text, so that a task computed again gives the same rows
+    wide = packed.select("_row", key, "_size", F.xxhash64("_row.text").alias("_h")).withColumn("_n", F.row_number().over(W.partitionBy("_k", "_size").orderBy("_h", "_row.text"))).drop("_h")
     copies = F.floor(F.col("_copies") / F.col("_rows")) + F.when(F.col("_n") <= F.col("_copies") % F.col("_rows"), 1).otherwise(0)
     each = wide.join(plan, ["_k", "_size"]).select("_row", F.explode(F.array_repeat(F.lit(0), copies.cast("int"))).alias("_copy"))
     return each.select("_row.*")

@@ -112,15 +112,20 @@ def packed(items: DataFrame, *, capacity: int = CAPACITY, block: int = BLOCK) ->
     """Pieces (doc_id, source, cluster, piece, doc_start, n_tokens, bin_id, bin_start) of ``items`` (doc_id, source, cluster, size).
 
     A piece is the words doc_start .. doc_start + n_tokens of its document, at bin_start of its bin."""
-    items, _ = materialize(items.select("doc_id", "source", F.col("cluster").cast("long").alias("cluster"), F.col("size").cast("long").alias("size")), "pack-items")
+    own_items = [F.col("doc_id"), F.col("source"), F.col("cluster").cast("long").alias("cluster"), F.col("size").cast("long").alias("size")]
+    # repeated rows are counted, then numbered, so that they are dealt to different blocks and have names of their own in any run
+    counted = items.select(*own_items).groupBy("doc_id", "source", "cluster", "size").agg(F.count("*").alias("_rows"))
+    items, _ = materialize(counted.select("doc_id", "source", "cluster", "size", F.explode(F.sequence(F.lit(1).cast("long"), "_rows")).alias("_no")), "pack-items")
     blocks = max(1, -(-items.where("size > 0").count() // block))
-    keyed = items.withColumn("key", F.xxhash64("doc_id", "source", "cluster"))
+    keyed = items.withColumn("key", F.xxhash64("doc_id", "source", "cluster", "_no"))
     last = F.greatest(F.lit(0), F.ceil(F.col("size") / capacity) - 1)
     pieces = keyed.select("*", F.explode(F.sequence(F.lit(0).cast("long"), last)).alias("piece"))
     pieces = pieces.withColumn("doc_start", F.col("piece") * capacity).withColumn("n_tokens", F.least(F.lit(capacity), F.col("size") - F.col("doc_start")))
     own = ["doc_id", "source", "cluster", "piece", "doc_start", "n_tokens"]
-    alone = pieces.where((F.col("n_tokens") == capacity) | (F.col("n_tokens") == 0)).withColumn("_rid", F.monotonically_increasing_id())
-    alone = alone.select(*own, F.when(F.col("n_tokens") > 0, F.concat(F.lit("full-"), F.col("_rid").cast("string"))).alias("bin_id"), F.lit(0).cast("long").alias("bin_start"))
+    alone = pieces.where((F.col("n_tokens") == capacity) | (F.col("n_tokens") == 0))
+    # a full bin is named by all that tells its piece from others; a null id, source or cluster by an empty field
+    told = [F.coalesce(F.col(c).cast("string"), F.lit("")) for c in ("doc_id", "cluster", "size", "_no", "piece", "source")]
+    alone = alone.select(*own, F.when(F.col("n_tokens") > 0, F.concat(F.lit("full-"), F.concat_ws("-", *told), F.when(F.col("source").isNull(), "?").otherwise("-"))).alias("bin_id"), F.lit(0).cast("long").alias("bin_start"))
     open_ = pieces.where((F.col("n_tokens") < capacity) & (F.col("n_tokens") > 0)).withColumn("block", F.pmod(F.xxhash64("key", F.lit(1)), F.lit(blocks)))
     given = open_.select(*own, "key", "block", F.lit(0).cast("long").alias("bin"), F.lit(0).cast("long").alias("bin_start"))
     placed = given.groupBy("block").applyInPandas(_pack_block(capacity), given.schema)
