@@ -7,7 +7,8 @@ values than the table has codes is probed by comparing the codes' own segments.
 
 Equal codes are one entry that counts its rows up to k, so a vector with very many copies costs one. Entries are dealt into shards
 of bounded size and query codes into blocks of bounded size; every block meets every shard, a shard answers with the codes up to
-its own k-th distance, and the answers are merged and expanded to rows.
+its own k-th distance, and the answers are merged and expanded to rows. Every block brings a copy of the entries and an index of
+its own, so blocks are no smaller than it takes to keep the session's shuffle tasks busy, up to a bound.
 
 Defined results: bit i is 1 if element i is above zero; null vectors, elements and missing elements give 0 bits, elements after the
 64th are not used; neighbours go by distance, then id, and a query finds itself; a null id is no query and, as a neighbour, comes
@@ -24,9 +25,11 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
-from helixloom.llm.common import materialize, table
+from helixloom.llm.common import materialize, spread, table
 
-K, EVERY, SHARD, BLOCK = 10, 20, 65_536, 512
+K, EVERY, SHARD = 10, 20, 65_536
+#: Queries of a block: as few as the first while that gives tasks to run side by side, then up to the second.
+BLOCK, MOST_BLOCK = 512, 16_384
 SEGMENTS, WIDTH = 4, 16
 _masks: dict[int, np.ndarray] = {}
 
@@ -105,7 +108,9 @@ def nearest(items: DataFrame, queries: DataFrame, *, k: int = K, shard: int = SH
     first, _ = materialize(first.select("id", "code"), "search-members")
     entries, _ = materialize(first.groupBy("code").agg(F.count("*").alias("weight")), "search-entries")
     asked, _ = materialize(queries.select(F.col("code").alias("query")).distinct(), "search-queries")
-    shards, blocks = (max(1, -(-df.count() // n)) for df, n in ((entries, shard), (asked, block)))
+    shards, n_asked = max(1, -(-entries.count() // shard)), asked.count()
+    side_by_side = -(-2 * spread(items.sparkSession) // shards)
+    blocks = max(1, -(-n_asked // max(block, MOST_BLOCK)), min(-(-n_asked // block), side_by_side))
     every = lambda n: F.explode(F.sequence(F.lit(0), F.lit(n - 1)))
     left = entries.select("code", "weight", F.pmod(F.xxhash64("code"), F.lit(shards)).cast("int").alias("shard"), every(blocks).alias("block"))
     right = asked.select("query", F.pmod(F.xxhash64("query"), F.lit(blocks)).cast("int").alias("block"), every(shards).alias("shard"))
