@@ -1,11 +1,13 @@
 """Chat formatting: any record layout to canonical turns, then to one marked text with a loss mask.
 
-A record's layout is told by a fingerprint, the hash of its sorted nested field paths. Each known fingerprint selects a
-declarative mapping, plain Column expressions, that lays the record out as turns. DataFrame functions only.
+A record's layout is told by a fingerprint, the hash of its sorted nested field paths, as far as any mapping reads them: other
+fields (ids, scores, names inside messages) don't count. Each known fingerprint selects a declarative mapping, plain Column
+expressions, that lays the record out as turns; a table with one row a turn is such a layout too. DataFrame functions only.
 
 Defined results: a null role or text counts as empty; turns of a conversation order by turn number (null first), then role,
 then text, so ties and repeated rows have one order and all stay; a null conversation id is one conversation; an empty table
-gives an empty result; further columns are left alone. A layout that no mapping knows has ``turns`` null.
+gives an empty result; further columns and fields bear on nothing. An empty list of messages has no turns; a nested object where
+a mapping reads a text is its JSON text. A layout that no mapping knows, or that has fields of several, has ``turns`` null.
 """
 
 from __future__ import annotations
@@ -17,7 +19,7 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from helixloom.llm.common import table
+from helixloom.llm.common import running, table
 
 TURN = "struct<role:string,text:string>"
 START, END = "<|im_start|>", "<|im_end|>"
@@ -85,38 +87,42 @@ MAPPINGS = (
     Mapping("conversations", ("conversations[].from", "conversations[].value"), "conversations array<struct<from:string,value:string>>", _listed("conversations", "from", "value")),
     Mapping("turn_list", ("turns[].role", "turns[].text"), "turns array<struct<role:string,text:string>>", _listed("turns", "role", "text")),
 )
-#: The layout with one row for each turn.
-TURN_ROWS = ("conv_id", "role", "text", "turn")
+#: The layout with one row for each turn: its turns come from an aggregate, all others from a record of their own.
+TURN_ROWS = Mapping("turn_rows", ("role", "text", "turn"), "turn bigint, role string, text string", None)
+#: All paths that a mapping reads, and those of them that are lists of objects: field to the objects' fields.
+KNOWN = sorted({p for m in MAPPINGS for p in m.paths})
+LISTS = {head: sorted(p.partition("[].")[2] for p in KNOWN if p.startswith(f"{head}[].")) for head in sorted({p.partition("[].")[0] for p in KNOWN if "[]." in p})}
 
 
 def select_mapping(schema: T.StructType, ignore: tuple[str, ...] = ("conv_id",)) -> Mapping | None:
-    """The mapping that the fingerprint of a table's schema selects; id columns don't count."""
-    own = fingerprint([p for p in field_paths(schema) if p not in ignore])
-    return next((m for m in MAPPINGS if m.key == own), None)
+    """The mapping that the fingerprint of a table's schema selects; ids and fields that no mapping reads don't count."""
+    paths = [p for p in field_paths(schema) if p not in ignore]
+    own, rows = fingerprint([p for p in paths if p in KNOWN]), fingerprint([p for p in paths if p in TURN_ROWS.paths])
+    return next((m for m in MAPPINGS if m.key == own), TURN_ROWS if rows == TURN_ROWS.key else None)
 
 
 def turns_from_records(df: DataFrame, id_col: str = "conv_id") -> DataFrame:
     """Records of one layout, known by the table's schema, to (conv_id, turns)."""
     found = select_mapping(df.drop(id_col).schema)
-    turns = found.turns(lambda f: F.col(f)) if found else F.lit(None)
+    turns = found.turns(lambda f: F.col(f)) if found and found is not TURN_ROWS else F.lit(None)
     return df.select(F.col(id_col).alias("conv_id"), turns.cast(f"array<{TURN}>").alias("turns"))
 
 
 def json_fingerprint(json: Column) -> Column:
-    """The layout fingerprint of each JSON record: its schema, types taken out, to paths, sorted and hashed in the JVM."""
-    shape = F.schema_of_variant(F.try_parse_json(json))
-    bare = F.regexp_replace(shape, r": (?:STRING|VOID|BOOLEAN|BIGINT|DOUBLE|FLOAT|DATE|TIMESTAMP(?:_NTZ)?|BINARY|DECIMAL\(\d+,\d+\))", "")
-    return F.sha2(bare, 256)
+    """The layout fingerprint of each JSON record, that of its known paths, sorted and hashed in the JVM; null for no object.
 
+    An empty list may be of any objects, so it counts with all fields that a mapping reads in it."""
+    none = F.array().cast("array<string>")
+    plain = [p for p in KNOWN if "[]." not in p]
 
-def _json_key(m: Mapping) -> str:
-    """What json_fingerprint gives for a record of this layout."""
-    inner: dict[str, list[str]] = {}
-    for p in m.paths:
-        head, _, field = p.partition("[].")
-        inner.setdefault(head, []).extend([field] if field else [])
-    fields = [f"{h}: ARRAY<OBJECT<{', '.join(sorted(fs))}>>" if fs else h for h, fs in sorted(inner.items())]
-    return hashlib.sha256(f"OBJECT<{', '.join(fields)}>".encode()).hexdigest()
+    def listed(head: str, fields: list[str]) -> Column:
+        items = F.from_json(F.get_json_object(json, f"$.{head}"), "array<string>")
+        inner = F.array_distinct(F.flatten(F.transform(items, lambda x: F.coalesce(F.json_object_keys(x), none))))
+        known = F.when(F.size(items) == 0, F.array(*map(F.lit, fields))).otherwise(F.filter(inner, lambda k: k.isin(fields)))
+        return F.transform(F.coalesce(known, none), lambda k: F.concat(F.lit(f"{head}[]."), k))
+
+    paths = [F.filter(F.json_object_keys(json), lambda k: k.isin(plain)), *[listed(*x) for x in LISTS.items()]]
+    return F.substring(F.sha2(F.array_join(F.array_sort(F.array_distinct(F.concat(*paths))), "\n"), 256), 1, 16)
 
 
 def turns_from_json(df: DataFrame, json_col: str, id_col: str = "conv_id") -> DataFrame:
@@ -124,8 +130,8 @@ def turns_from_json(df: DataFrame, json_col: str, id_col: str = "conv_id") -> Da
     key, turns, layout = json_fingerprint(F.col(json_col)), F.lit(None).cast(f"array<{TURN}>"), F.lit(None).cast("string")
     for m in MAPPINGS:
         parsed = F.from_json(F.col(json_col), m.schema)
-        turns = F.when(F.col("_key") == _json_key(m), m.turns(lambda f, p=parsed: p[f]).cast(f"array<{TURN}>")).otherwise(turns)
-        layout = F.when(F.col("_key") == _json_key(m), F.lit(m.name)).otherwise(layout)
+        turns = F.when(F.col("_key") == m.key, m.turns(lambda f, p=parsed: p[f]).cast(f"array<{TURN}>")).otherwise(turns)
+        layout = F.when(F.col("_key") == m.key, F.lit(m.name)).otherwise(layout)
     return df.select(F.col(id_col).alias("conv_id"), F.col(json_col), key.alias("_key")).select("conv_id", layout.alias("layout"), turns.alias("turns"))
 
 
@@ -138,9 +144,7 @@ def turns_from_rows(df: DataFrame) -> DataFrame:
 
 def canonical_turns(df: DataFrame) -> DataFrame:
     """(conv_id, turns) from a table of any known layout, chosen by its schema's fingerprint."""
-    if fingerprint([p for p in field_paths(df.schema) if p in TURN_ROWS]) == fingerprint(list(TURN_ROWS)):
-        return turns_from_rows(df)
-    return turns_from_records(df)
+    return turns_from_rows(df) if select_mapping(df.schema) is TURN_ROWS else turns_from_records(df)
 
 
 # ---- the template ------------------------------------------------------------------------------------------------------
@@ -176,19 +180,12 @@ def render(df: DataFrame) -> DataFrame:
             (t.role == "assistant").alias("loss"),
         ),
     )
-    tail = len(END) + 1
-    ends = F.aggregate(
-        "_pieces",
-        F.struct(F.lit(0).cast("long").alias("at"), F.array().cast("array<struct<start:bigint,length:bigint>>").alias("spans")),
-        lambda acc, p: F.struct(
-            (acc.at + F.length(p.head) + F.length(p.body) + tail).cast("long").alias("at"),
-            F.when(
-                p.loss, F.array_append(acc.spans, F.struct((acc.at + F.length(p.head)).cast("long").alias("start"), F.length(p.body).cast("long").alias("length")))
-            ).otherwise(acc.spans).alias("spans"),
-        ),
-    )
+    sizes = F.transform("_pieces", lambda p: (F.length(p.head) + F.length(p.body) + len(END) + 1).cast("long"))
+    spans = F.zip_with("_pieces", "_ends", lambda p, end: F.struct(p.loss.alias("loss"), (end - len(END) - 1 - F.length(p.body)).alias("start"), F.length(p.body).cast("long").alias("length")))
+    spans = F.transform(F.filter(spans, lambda x: x.loss), lambda x: F.struct(x.start.alias("start"), x.length.alias("length")))
     text = F.array_join(F.transform("_pieces", lambda p: F.concat(p.head, p.body, F.lit(END + "\n"))), "")
-    return df.select("conv_id", pieces.alias("_pieces")).select("conv_id", text.alias("formatted"), ends.spans.alias("loss_spans"))
+    df = df.select("conv_id", pieces.alias("_pieces")).withColumn("_sizes", sizes).withColumn("_ends", running(F.col("_sizes"), lambda at, n: at + n, "bigint"))
+    return df.select("conv_id", text.alias("formatted"), spans.alias("loss_spans"))
 
 
 def read_back(df: DataFrame) -> DataFrame:
@@ -198,16 +195,20 @@ def read_back(df: DataFrame) -> DataFrame:
     parts = F.filter(F.split("formatted", r"<\|im_end\|>\n"), lambda s: s != "")
     head = F.transform(parts, lambda s: F.substring_index(s, "\n", 1))
     raw = F.zip_with(parts, head, lambda s, h: F.struct(F.substring(h, F.lit(len(START) + 1), F.length(h)).alias("role"), F.substring(s, F.length(h) + 2, F.length(s)).alias("body"), F.length(h).cast("long").alias("head")))
-    # starts of the bodies: what came before, each turn with its own head, line feed, body and end mark
-    starts = F.aggregate(
-        "_raw",
-        F.struct(F.lit(0).cast("long").alias("at"), F.array().cast("array<bigint>").alias("starts")),
-        lambda acc, r: F.struct((acc.at + r.head + 1 + F.length(r.body) + len(END) + 1).cast("long").alias("at"), F.array_append(acc.starts, acc.at + r.head + 1).alias("starts")),
-    ).starts
-    # masked bodies come in the order of the spans, so a set of starts decides
-    masked = F.zip_with("_raw", starts, lambda r, s: F.struct(r.role.alias("role"), r.body.alias("body"), F.array_contains(F.transform("loss_spans", lambda x: x.start), s).alias("loss")))
+    # ends of the turns: each has its own head, line feed, body and end mark
+    sizes = F.transform("_raw", lambda r: (r.head + 1 + F.length(r.body) + len(END) + 1).cast("long"))
+    # starts of bodies and of spans in one order: a body is masked if a span of the same start stands before it
+    bodies = F.zip_with("_raw", "_ends", lambda r, end: F.struct((end - len(END) - 1 - F.length(r.body)).alias("at"), F.lit(1).alias("t"), r.role.alias("role"), r.body.alias("body")))
+    none = F.lit(None).cast("string")
+    marks = F.transform("loss_spans", lambda x: F.struct(x.start.alias("at"), F.lit(0).alias("t"), none.alias("role"), none.alias("body")))
+    places = F.array_sort(F.concat(marks, bodies))
+    before = lambda i: F.get(F.col("_places"), i - 1)
+    masked = F.filter(F.transform("_places", lambda x, i: F.struct(x.t.alias("t"), x.role.alias("role"), x.body.alias("body"), F.coalesce((before(i).t == 0) & (before(i)["at"] == x["at"]), F.lit(False)).alias("loss"))), lambda x: x.t == 1)
     return (
         df.withColumn("_raw", raw)
+        .withColumn("_sizes", sizes)
+        .withColumn("_ends", running(F.col("_sizes"), lambda at, n: at + n, "bigint"))
+        .withColumn("_places", places)
         .withColumn("_masked", masked)
         .select(
             "conv_id", "formatted", "loss_spans",

@@ -45,6 +45,11 @@ RECORDS = [
     ({"conversations": [{"from": "human", "value": "u"}, {"from": "gpt", "value": "g"}]}, "conversations", [("user", "u"), ("assistant", "g")]),
     ({"system": "s", "prompt": "p", "response": "r"}, "system_prompt", [("system", "s"), ("user", "p"), ("assistant", "r")]),
     ({"unknown": 1}, None, None),
+    ({"prompt": "q", "response": "a", "id": 3, "meta": {"x": [1]}}, "prompt", [("user", "q"), ("assistant", "a")]),
+    ({"messages": []}, "messages", []),
+    ({"messages": [{"role": "user", "content": "u", "name": "n"}, {"role": "assistant", "content": None}], "score": 1.5}, "messages", [("user", "u"), ("assistant", "")]),
+    ({"messages": "no list"}, None, None),
+    ({"prompt": "q", "response": "a", "instruction": "both"}, None, None),
 ]
 
 
@@ -52,7 +57,7 @@ def test_json_records_of_mixed_layouts(spark):
     rows = [(k, json.dumps(r)) for k, (r, _, _) in enumerate(RECORDS)] + [(90, "{broken"), (91, None)]
     got = {r.conv_id: r for r in C.turns_from_json(spark.createDataFrame(rows, "conv_id long, js string"), "js").collect()}
     for k, (_, layout, turns) in enumerate(RECORDS):
-        assert got[k].layout == layout and (got[k].turns and [(t.role, t.text) for t in got[k].turns]) == turns
+        assert got[k].layout == layout and (None if got[k].turns is None else [(t.role, t.text) for t in got[k].turns]) == turns
     assert got[90].turns is None and got[91].layout is None
 
 
@@ -62,4 +67,13 @@ def test_tables_by_schema(spark):
     b = spark.sql("SELECT 1L conv_id, array(struct('human' AS `from`, 'u' AS value)) conversations")
     assert C.canonical_turns(b).first().turns[0].role == "user"
     assert C.canonical_turns(spark.sql("SELECT 1L conv_id, 2 other")).first().turns is None
-    assert len({m.key for m in C.MAPPINGS}) == len(C.MAPPINGS)
+    c = spark.createDataFrame([(1, "p", "r", 7)], "conv_id long, prompt string, response string, meta int")
+    assert [(t.role, t.text) for t in C.canonical_turns(c).first().turns] == [("user", "p"), ("assistant", "r")]
+    assert len({m.key for m in (*C.MAPPINGS, C.TURN_ROWS)}) == len(C.MAPPINGS) + 1
+
+
+def test_long_conversation(spark):
+    n = 5000
+    df = spark.range(n).select(F.lit(1).alias("conv_id"), F.col("id").alias("turn"), F.when(F.col("id") % 2 == 0, "user").otherwise("assistant").alias("role"), F.concat(F.lit("t"), "id").alias("text"))
+    r = C.read_back(C.render(C.canonical_turns(df))).first()
+    assert [t.text for t in r.turns] == [f"t{k}" for k in range(n)] and r.loss_text == "".join(f"t{k}" for k in range(1, n, 2))
