@@ -201,7 +201,7 @@ def read_back(df: DataFrame) -> DataFrame:
     bodies = F.zip_with("_raw", "_ends", lambda r, end: F.struct((end - len(END) - 1 - F.length(r.body)).alias("at"), F.lit(1).alias("t"), r.role.alias("role"), r.body.alias("body")))
     none = F.lit(None).cast("string")
     marks = F.transform("loss_spans", lambda x: F.struct(x.start.alias("at"), F.lit(0).alias("t"), none.alias("role"), none.alias("body")))
-    places = F.array_sort(F.concat(marks, bodies))
+    places = F.sort_array(F.concat(marks, bodies))
     before = lambda i: F.get(F.col("_places"), i - 1)
     masked = F.filter(F.transform("_places", lambda x, i: F.struct(x.t.alias("t"), x.role.alias("role"), x.body.alias("body"), F.coalesce((before(i).t == 0) & (before(i)["at"] == x["at"]), F.lit(False)).alias("loss"))), lambda x: x.t == 1)
     return (
