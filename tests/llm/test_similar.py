@@ -3,8 +3,10 @@
 import random
 
 import corpus_pipeline as cp
+import numpy as np
 import pytest
 from helixloom.llm import similar, simhash
+from pyspark.sql import functions as F
 
 
 def plain_groups(rows):
@@ -50,3 +52,17 @@ def test_stage_links_pairs_of_many_bits(spark, sf):
     assert {r.doc_id for r in cp.near_dedup(spark, docs, sf).collect()} == plain_groups(rows)
     fps = {d: simhash.fingerprint((t or "").encode()) for d, t in rows}
     assert bin((fps[6] ^ fps[145]) % 2**64).count("1") > simhash.DISTANCE and bin((fps[1] ^ fps[177]) % 2**64).count("1") > simhash.DISTANCE
+
+
+def test_folded_bits_rule_out_no_similar_pair(spark):
+    rng, rows, want = random.Random(11), [], []
+    for k in range(300):
+        size, same = rng.choice([1, 2, 9, 80, 700, 3000]), rng.random()
+        a = {rng.getrandbits(63) for _ in range(size)}
+        b = set(rng.sample(sorted(a), round(len(a) * same))) | {rng.getrandbits(63) for _ in range(rng.randint(0, size // 4))} or a
+        x, y = (np.array(sorted(v), np.int64) for v in (a, b))
+        rows.append((k, *([int(w) for w in similar._fold(similar._odd(v))] for v in (x, y)), len(a) + len(b)))
+        want += [k] * similar.similar(a, b)
+    df = spark.createDataFrame(rows, "k long, x array<long>, y array<long>, sizes long")
+    near = {r.k for r in df.where(similar._near(F.col("x"), F.col("y"), F.col("sizes"))).collect()}
+    assert set(want) <= near and len(want) > 20 and len(near) < 290
