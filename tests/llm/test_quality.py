@@ -87,3 +87,16 @@ def test_edges(spark):
     assert quality.judge(docs.limit(0), none).count() == 0
     kept = quality.quality_filter(docs, none)
     assert kept.columns == docs.columns and kept.count() == 2
+
+
+def test_threshold_rests_on_all_labels(spark):
+    """More labels than the 40,000 that were read before: the threshold is the quantile over every held-out document."""
+    n = 90_000
+    text = F.concat_ws(" ", *[F.concat(F.lit("w"), F.pmod(F.xxhash64("id", F.lit(k)), F.lit(400))) for k in range(10)])
+    docs = spark.range(n).select(F.col("id").alias("doc_id"), text.alias("text"))
+    labels = spark.range(n).select(F.col("id").alias("doc_id"), F.lit(1).alias("quality"))
+    rows = quality.judge(docs, labels).select("score", "threshold", (F.pmod(F.xxhash64("doc_id"), F.lit(2)) == 1).alias("held")).collect()
+    held = sorted(r.score for r in rows if r.held)
+    at = (1 - quality.KEEP_TRUSTED) * (len(held) - 1)
+    want = held[int(at)] + (held[int(at) + 1] - held[int(at)]) * (at - int(at))
+    assert len(held) > 40_000 and abs(rows[0].threshold - want) < 1e-12
