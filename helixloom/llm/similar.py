@@ -18,7 +18,6 @@ one group; a group is a connected component of linked pairs.
 
 from __future__ import annotations
 
-import json
 from collections import Counter
 from collections.abc import Iterator
 
@@ -277,15 +276,14 @@ def _decide(block: pa.Table) -> pa.Table:
 def _may_be_among(rows: DataFrame, value: Column) -> Column:
     """Whether a hash is one of ``rows``' (_hash): never false if it is, and seldom true if it is not, as far as ``BITS`` bits go.
 
-    The driver gets the bits, whose number is fixed, as at most ``BITS`` / 64 longs."""
+    The bits, whose number is fixed, come as at most ``BITS`` / 64 longs from a subquery."""
     place = lambda h: F.pmod(F.xxhash64(h, F.lit(23)), F.lit(BITS))
+    at = lambda h: F.floor(place(h) / 64).cast("int")
     one = F.call_function("shiftleft", F.lit(1).cast("long"), F.pmod(place(F.col("_hash")), F.lit(64)).cast("int"))
-    found = rows.groupBy(F.floor(place(F.col("_hash")) / 64).cast("int").alias("word")).agg(F.bit_or(one).alias("bits"))
-    words = [0] * (BITS // 64)
-    for r in found.collect():
-        words[r["word"]] = r["bits"]
-    word = F.get(F.from_json(F.lit(json.dumps(words)), "array<bigint>"), F.floor(place(value) / 64).cast("int"))
-    return F.call_function("shiftright", word, F.pmod(place(value), F.lit(64)).cast("int")).bitwiseAND(1) == 1
+    zero = rows.sparkSession.range(0, BITS // 64, 1, 1).select(F.col("id").cast("int").alias("word"), F.lit(0).cast("long").alias("bits"))
+    found = rows.select(at(F.col("_hash")).alias("word"), one.alias("bits")).unionByName(zero).groupBy("word").agg(F.bit_or("bits").alias("bits"))
+    words = found.agg(F.transform(F.array_sort(F.collect_list(F.struct("word", "bits"))), lambda x: x.bits).alias("words")).scalar()
+    return F.call_function("shiftright", F.get(words, at(value)), F.pmod(place(value), F.lit(64)).cast("int")).bitwiseAND(1) == 1
 
 
 def _similar_pairs(pairs: DataFrame, sets: DataFrame, docs: DataFrame) -> DataFrame:

@@ -5,7 +5,7 @@ import random
 import corpus_pipeline as cp
 import numpy as np
 import pytest
-from helixloom.llm import similar, simhash
+from helixloom.llm import quality, similar, simhash
 from pyspark.sql import functions as F
 
 
@@ -66,3 +66,13 @@ def test_folded_bits_rule_out_no_similar_pair(spark):
     df = spark.createDataFrame(rows, "k long, x array<long>, y array<long>, sizes long")
     near = {r.k for r in df.where(similar._near(F.col("x"), F.col("y"), F.col("sizes"))).collect()}
     assert set(want) <= near and len(want) > 20 and len(near) < 290
+
+
+def test_plans_do_not_carry_their_arrays(spark, sf):
+    """Bits and ratios are subqueries: as literals they stood in each plan that the driver prints and keeps."""
+    rows = spark.range(1000).select(F.xxhash64("id").alias("_hash"))
+    docs = spark.range(3000).select(F.xxhash64("id").alias("_hash"))
+    among = docs.where(similar._may_be_among(rows, F.col("_hash")))
+    assert 1000 <= among.count() < 1010 and rows.join(among, "_hash").count() == 1000
+    kept = quality.quality_filter(spark.read.parquet(f"{sf}/documents.parquet"), spark.read.parquet(f"{sf}/labels.parquet"))
+    assert all(len(df._jdf.queryExecution().toString()) < 100_000 for df in (among, kept))
