@@ -17,7 +17,9 @@ def quality_rules(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFram
 
 
 def near_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """One document of each group of near-duplicates (five-word shingles, similarity 0.8 or more), that with the least id."""
+    """One document of each group of near-duplicates (five-word shingles, similarity 0.8 or more), that with the least id.
+
+    SimHash brings candidates together, texts decide them, and what it leaves apart is completed exactly."""
     return simhash.first_rows(docs, similar.groups(docs.select("doc_id", *simhash.row_name(), "text")))
 
 

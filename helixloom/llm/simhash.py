@@ -69,7 +69,11 @@ def fingerprint(text: bytes | None) -> int:
     if not w:
         return 0
     shingles = [b" ".join(w)] if len(w) < SHINGLE else map(b" ".join, zip(*(w[k:] for k in range(SHINGLE)), strict=False))
-    h = np.fromiter((xxhash.xxh64_intdigest(s, SEED) for s in shingles), dtype=np.uint64)
+    return majority(np.fromiter((xxhash.xxh64_intdigest(s, SEED) for s in shingles), dtype=np.uint64))
+
+
+def majority(h: np.ndarray) -> int:
+    """The bits that are set in over half the hashes, as a signed long."""
     ones = sum(np.unpackbits(h[k : k + 65536].view(np.uint8).reshape(-1, 8), axis=1, bitorder="little").sum(axis=0, dtype=np.int64) for k in range(0, len(h), 65536))
     return int(np.packbits(2 * ones > len(h), bitorder="little").view(np.int64)[0])
 

@@ -1,9 +1,12 @@
 """Near-duplicates by Jaccard similarity of word shingles: all pairs of ``SIMILAR`` or more are linked, none is left to chance.
 
+SimHash comes first: fingerprints of the shingles meet by the blocks of ``simhash``, those that differ in up to ``NEAR`` bits are
+candidates, and their texts decide. It does not find all pairs: at similarity 0.8 fingerprints of 64 bits differ in up to 17 bits
+(counted on sf0.1 and sf0.001), for which no blocks are selective. Sets that it has not linked are completed exactly.
+
 Two sets of n and m elements with similarity 0.8 share so much that, in any order that holds for all sets, the first
 n - ceil(0.8 n) + 1 of one and the like of the other have an element in common. Sets meet by these elements, pairs whose sizes
-allow 0.8 are candidates. SimHash does not find these pairs: at similarity 0.8
-fingerprints of 64 bits differ in up to 17 bits (counted on sf0.1 and sf0.001), for which no blocks are selective.
+allow 0.8 and that SimHash leaves apart are candidates.
 
 The order puts shingles that many documents of a bounded sample have last, the most frequent at the very end, so passages that
 many documents carry seldom bring them together. The sample bears on the work alone, never on the result. An element with up to
@@ -29,12 +32,15 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.types import ArrayType, LongType
 
+from helixloom.llm import simhash
 from helixloom.llm.common import discard, materialize
 from helixloom.llm.components import connected
 
 SHINGLE = 5
 #: Least similarity of a linked pair, as a fraction of whole numbers.
 SIMILAR = (4, 5)
+#: Bits in which fingerprints that share three of six blocks may differ and be candidates.
+NEAR = 14
 #: Sets of one element that give all their pairs at once, and sets that a larger element is linked to first.
 SMALL, HUBS = 64, 4
 #: How often sets may be marked again, and how often sets outside the largest group are linked to a few of theirs.
@@ -122,9 +128,10 @@ def _possible(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
 
 
 def _marker(frequent: tuple[np.ndarray, np.ndarray]):
-    """mapInArrow that puts (s, n, start, odd, fold) in place of the text: the set's hash, size, start and odd bits, whole and folded.
+    """mapInArrow that puts (s, n, start, odd, fold, fp) in place of the text: the set's hash, size, start, odd bits, whole and folded,
+    and fingerprint.
 
-    A task gives start and bits of its first copy of a set alone, so copies meet no more often than there are tasks."""
+    A task gives start, bits and fingerprint of its first copy of a set alone, so copies meet no more often than there are tasks."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         seen: set[int] = set()  # of one task, whose input is bounded
@@ -132,15 +139,16 @@ def _marker(frequent: tuple[np.ndarray, np.ndarray]):
             h = [_hashed(t.as_py()) for t in batch.column("text").cast(pa.binary())]
             # a set is named by its sorted hashes
             s, start = [xxhash.xxh3_64_intdigest(x.tobytes()) - (1 << 63) for x in h], []
-            odd, fold = [], []
+            odd, fold, fp = [], [], []
             for name, x in zip(s, h, strict=True):
                 start.append(None if name in seen else _start(x, frequent))
                 odd.append(None if name in seen else _odd(x))
                 fold.append(None if name in seen else _fold(odd[-1]))
+                fp.append(None if name in seen else simhash.majority(x.view(np.uint64)) if len(x) else 0)
                 seen.add(name)
             names = [x for x in batch.schema.names if x != "text"]
-            own = [pa.array(s, pa.int64()), pa.array([len(x) for x in h], pa.int64()), pa.array(start, pa.list_(pa.int64())), pa.array(odd, pa.binary()), pa.array(fold, pa.list_(pa.int64()))]
-            yield pa.RecordBatch.from_arrays([*[batch.column(x) for x in names], *own], [*names, "s", "n", "start", "odd", "fold"])
+            own = [pa.array(s, pa.int64()), pa.array([len(x) for x in h], pa.int64()), pa.array(start, pa.list_(pa.int64())), pa.array(odd, pa.binary()), pa.array(fold, pa.list_(pa.int64())), pa.array(fp, pa.int64())]
+            yield pa.RecordBatch.from_arrays([*[batch.column(x) for x in names], *own], [*names, "s", "n", "start", "odd", "fold", "fp"])
 
     return run
 
@@ -287,13 +295,14 @@ def _may_be_among(rows: DataFrame, value: Column) -> Column:
 
 
 def _similar_pairs(pairs: DataFrame, sets: DataFrame, docs: DataFrame) -> DataFrame:
-    """Those of ``pairs`` (a, b) whose texts are similar, written. ``sets``: (s, n, _hash, odd); ``docs``: (_hash, text).
+    """Those of ``pairs`` (a, b) whose texts are similar, written. ``sets``: (s, n, _hash, odd, linked); ``docs``: (_hash, text).
 
-    What is left after the odd bits are compared is dealt to blocks of at most 2 x ``BLOCK`` sets: the sets of one component of candidate pairs by a hash of theirs, a
+    Pairs with one value of ``linked`` are linked already and left out. What is left after the odd bits are compared is dealt to blocks of at most 2 x ``BLOCK`` sets: the sets of one component of candidate pairs by a hash of theirs, a
     block for every two hashes that a pair has. A text goes to each of its blocks once, instead of to each of its pairs."""
     pairs = pairs.select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).distinct()
-    left, right = sets.select(F.col("s").alias("a"), "n", F.col("odd").alias("x")), sets.select(F.col("s").alias("b"), F.col("n").alias("m"), F.col("odd").alias("y"))
-    pairs, _ = materialize(pairs.join(left, "a").join(right, "b").mapInArrow(_possible, "a long, b long"), "similar-pairs")
+    left = sets.select(F.col("s").alias("a"), "n", F.col("odd").alias("x"), F.col("linked").alias("i"))
+    right = sets.select(F.col("s").alias("b"), F.col("n").alias("m"), F.col("odd").alias("y"), F.col("linked").alias("j"))
+    pairs, _ = materialize(pairs.join(left, "a").join(right, "b").where("i <> j").select("a", "b", "n", "m", "x", "y").mapInArrow(_possible, "a long, b long"), "similar-pairs")
     member = connected(pairs)
     parts = member.groupBy("root").agg(F.ceil(F.count("*") / BLOCK).alias("parts"))
     slot = member.join(parts, "root").select("node", "root", F.pmod(F.xxhash64("node", F.lit(5)), F.col("parts")).alias("slot"))
@@ -320,15 +329,36 @@ def _outside(rooted: DataFrame) -> DataFrame:
     return rooted.join(most, "key").where("root <> most").select("key", "s", "n", "fold")
 
 
+def simhash_pairs(sets: DataFrame) -> DataFrame:
+    """Pairs (a, b) of sets that SimHash proposes: of equal fingerprints, and of those that blocks bring together with at most ``NEAR``
+    bits between them. ``sets``: (s, fp), written. As many as connect what it finds, not all."""
+    first = sets.groupBy("fp").agg(F.min("s").alias("first"))
+    first, _ = materialize(first, "similar-fp")
+    same = sets.join(first, "fp").where("s <> first").select(F.col("first").alias("a"), F.col("s").alias("b"))
+    one, other = first.select(F.col("fp").alias("a"), F.col("first").alias("x")), first.select(F.col("fp").alias("b"), F.col("first").alias("y"))
+    near = simhash.links(first.select("fp"), distance=NEAR).distinct().join(one, "a").join(other, "b")
+    return same.unionByName(near.select(F.col("x").alias("a"), F.col("y").alias("b")))
+
+
+def simhash_linked(marked: DataFrame, docs: DataFrame) -> tuple[DataFrame, DataFrame]:
+    """The sets (s, n, _hash, odd, fold, linked), ``linked`` being equal where SimHash and then the texts connect them, and those links."""
+    columns = [F.min(c).alias(c) for c in ("_hash", "odd", "fold", "fp")]
+    sets, _ = materialize(marked.groupBy("s", "n").agg(*columns), "similar-sets")
+    links = _similar_pairs(simhash_pairs(sets.select("s", "fp")), sets.withColumn("linked", F.col("s")), docs)
+    return materialize(_rooted(sets.drop("fp"), links).withColumnRenamed("root", "linked"), "similar-linked")[0], links
+
+
 def roots(marked: DataFrame, found: DataFrame, docs: DataFrame) -> DataFrame:
-    """(s, root) of every distinct set. ``marked``: (_hash, s, n, odd, fold) and ``found``: what ``_pairer`` gives, written; ``docs``:
+    """(s, root) of every distinct set. ``marked``: (_hash, s, n, odd, fold, fp) and ``found``: what ``_pairer`` gives, written; ``docs``:
     (_hash, text).
 
-    Sets of a large key meet a few of them, then a few of those outside its largest group, and at last those outside meet all."""
-    sets, _ = materialize(marked.groupBy("s", "n").agg(F.min("_hash").alias("_hash"), F.min("odd").alias("odd"), F.min("fold").alias("fold")), "similar-sets")
+    SimHash links sets first. Then those of a large key meet a few of them, then a few of those outside its largest group, and at
+    last those outside meet all."""
+    sets, links = simhash_linked(marked, docs)
     large = found.where("key IS NOT NULL").select("key", F.col("a").alias("s"), F.col("b").alias("n"))
     large, _ = materialize(large.join(sets.select("s", "fold"), "s"), "similar-large")
-    links = _similar_pairs(found.where("key IS NULL").select("a", "b").unionByName(_to_hubs(large, large)), sets, docs)
+    first = _similar_pairs(found.where("key IS NULL").select("a", "b").unionByName(_to_hubs(large, large)), sets, docs)
+    links, _ = materialize(links.unionByName(first), "similar-links")
     for _ in range(ROUNDS):
         rest, _ = materialize(_outside(_rooted(large, links)), "similar-outside")
         if rest.isEmpty():
@@ -345,7 +375,7 @@ def groups(docs: DataFrame, *, small: int = SMALL) -> DataFrame:
 
     Elements that turn out to have many sets go to the end of the order, and the sets are marked again."""
     spark, own, frequent = docs.sparkSession, [c for c in docs.columns if c != "text"], _frequent(docs)
-    schema = docs.drop("text").schema.add("s", "long").add("n", "long").add("start", ArrayType(LongType())).add("odd", "binary").add("fold", ArrayType(LongType()))
+    schema = docs.drop("text").schema.add("s", "long").add("n", "long").add("start", ArrayType(LongType())).add("odd", "binary").add("fold", ArrayType(LongType())).add("fp", "long")
     for left in range(REFINE, -1, -1):
         marked, marked_path = materialize(docs.mapInArrow(_marker(frequent), schema), "similar-marked")
         keyed = marked.select(F.explode("start").alias("key"), "n", "s").repartition("key").sortWithinPartitions("key", "n", "s")
@@ -359,4 +389,4 @@ def groups(docs: DataFrame, *, small: int = SMALL) -> DataFrame:
             break
         frequent = _ordered(known | new)
         discard(spark, marked_path, found_path)
-    return marked.select(*own, "s").join(roots(marked.select("_hash", "s", "n", "odd", "fold"), found, docs.select("_hash", "text")), "s").select(*own, "root")
+    return marked.select(*own, "s").join(roots(marked.select("_hash", "s", "n", "odd", "fold", "fp"), found, docs.select("_hash", "text")), "s").select(*own, "root")

@@ -76,3 +76,40 @@ def test_plans_do_not_carry_their_arrays(spark, sf):
     assert 1000 <= among.count() < 1010 and rows.join(among, "_hash").count() == 1000
     kept = quality.quality_filter(spark.read.parquet(f"{sf}/documents.parquet"), spark.read.parquet(f"{sf}/labels.parquet"))
     assert all(len(df._jdf.queryExecution().toString()) < 100_000 for df in (among, kept))
+
+
+def test_simhash_links_first_and_the_rest_is_completed(spark, monkeypatch):
+    """SimHash proposes pairs, texts decide them; what follows links only sets that it has left apart."""
+    rng, rows = random.Random(5), []
+    for k in range(30):
+        words = [f"w{rng.randrange(10**6)}" for _ in range(200)]
+        for changes in (0, 1, 8):  # the last at similarity 0.8 or less, far apart in bits
+            copy = list(words)
+            for at in range(0, 200, 25)[:changes]:
+                copy[at + 2] = f"x{rng.randrange(10**6)}"
+            rows.append((3 * k + changes // 4 + (changes == 1), " ".join(copy)))
+    proposed, decided = [], []
+    links, decide = simhash.links, similar._similar_pairs
+
+    def spied(*a, **how):
+        proposed.append(links(*a, **how))
+        return proposed[-1]
+
+    def decided_on(*a):
+        decided.append(decide(*a))
+        return decided[-1]
+
+    monkeypatch.setattr(simhash, "links", spied)
+    monkeypatch.setattr(similar, "_similar_pairs", decided_on)
+    df = spark.createDataFrame(rows, "doc_id long, text string")
+    got = cp.near_dedup(spark, df, "").collect()
+    assert sorted(r.doc_id for r in got) == sorted(plain_groups(rows))
+    assert len(proposed) == 1 and proposed[0].count() >= 10
+    first = [(r.a, r.b) for r in decided[0].collect()]
+    assert len(first) >= 10
+    root = {}
+    for a, b in first:
+        new, old = root.get(a, a), root.get(b, b)
+        root |= {x: new for x in [*root, a, b] if root.get(x, x) in (new, old)}
+    later = [(r.a, r.b) for d in decided[1:] for r in d.collect()]
+    assert later and not any(root.get(a, a) == root.get(b, b) for a, b in later)
