@@ -5,7 +5,7 @@ import numpy as np
 import pytest
 from helixloom import cli
 from helixloom.operators import calls, haplotypes, histograms, models, partition, reads, simulate
-from helixloom.plans import registry, sim_queries, views
+from helixloom.plans import operator_queries, registry, sim_queries, views
 from helixloom.sources import text
 from helixloom.streaming import reads as streams
 from pyspark.sql import functions as F
@@ -127,6 +127,24 @@ def test_closed_loop(spark, sf):
     assert all(len(r.seq) == len(r.qual) == 30 for r in c) and any(r.md for r in c)
 
 
+def test_short_templates_over_insertions_hold(spark, sf, monkeypatch):
+    """Bases inserted in a read take no room on the reference; without any, a template shorter there than a read is told."""
+    with monkeypatch.context() as m:
+        m.setattr(sim_queries, "MODEL", models.create_model(rlen=30, tlen=34, tlen_std=3, max_tlen=200))
+        a = sim_queries.perfect_align(spark, sf).cache()
+    short = [r.cigar for r in a.where("abs(tlen) < 30").collect()]
+    assert short and all("I" in c for c in short)
+    monkeypatch.setattr(sim_queries, "perfect_align", lambda *_: a)
+    got = operator_queries.perfect_align_holds(spark, sf).collect()
+    a.unpersist()
+    assert len(got) > 100 and all(r.no_displacement and r.mates_apart for r in got)
+    names = [r.chrom for r in got[:5]]
+    rows = spark.createDataFrame(list(zip(names, ["30M", "29M1I", "10M5D20M", "12M2I16M", "30I"], [29, 29, 29, 27, 1])), "chrom string, cigar string, tlen int").withColumn("d_err", F.lit(0))
+    monkeypatch.setattr(sim_queries, "perfect_align", lambda *_: rows)
+    told = {r.chrom: r.mates_apart for r in operator_queries.perfect_align_holds(spark, sf).collect()}
+    assert [told[n] for n in names] == [False, True, False, False, True]
+
+
 def test_haplotype_keeps_reference_without_variants(spark):
     df = spark.createDataFrame([(0, "1", 1, "ACGTACGT", 1)], "region_idx int, chrom string, start long, seq string, ploidy int")
     none = spark.createDataFrame([], "region_idx int, cpy int, chrom string, pos long, ordinal long, ref string, alt string, op string, n int")
